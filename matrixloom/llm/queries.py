@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrixloom.llm import canon, leak, lookalike, packing, quantiles
-from matrixloom.plans.tables import METADATA, PROTEOMICS, SCORES, SUMMARY, table
+from matrixloom.llm import canon, cluster, leak, lookalike, packing, quantiles, setpairs
+from matrixloom.operators import packed
+from matrixloom.plans import numbered
+from matrixloom.plans.tables import EXPRESSION, METADATA, MODULES, PROTEOMICS, SCORES, SUMMARY, table
 from matrixloom.schema import PROGRAM_ORDER, slug_text
 from matrixloom.session import Scratch
 
@@ -14,6 +16,34 @@ FIELDS = ["tissue", "sample_type", "condition_group"]
 SLUGS = {p: slug_text(p) for p in PROGRAM_ORDER}
 
 
+# 1. clusters ----------------------------------------------------------------------------------------------
+ALIKE = 0.85
+
+
+def _p1(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], DataFrame]:
+    df = table(spark, folder, EXPRESSION)
+    genes = [c for c in df.columns if c != "sample_id"]
+    return df, genes, cluster.clusters(df, "sample_id", genes, ALIKE, Scratch(spark, "p1"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The samples of every cluster of alike expression profiles."""
+    return _p1(spark, folder)[2].withColumnRenamed("key", "sample_id")
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, typical samples and tissues of every cluster."""
+    df, genes, members = _p1(spark, folder)
+    members = Scratch(spark, "p1m").save(members)
+    tissue = table(spark, folder, METADATA).groupBy(F.col("sample_id").alias("key")).agg(F.max("tissue").alias("tissue"))
+    per = members.join(tissue, "key", "left").groupBy("cluster_id", "tissue").agg(F.count("*").alias("n"))
+    named = per.groupBy("cluster_id").agg(
+        F.count("tissue").alias("n_tissues"), F.max_by("tissue", F.when(F.col("tissue").isNotNull(), F.struct("n", "tissue"))).alias("main_tissue")
+    )
+    report = cluster.cluster_report(df, "sample_id", genes, members)
+    return report.join(named, "cluster_id").select("cluster_id", "n_members", "cell_members", F.array_join("typical", "; ").alias("typical"), "n_tissues", "main_tissue")
+
+
 # 3. free entries ------------------------------------------------------------------------------------------
 def _p3(spark: SparkSession, folder: str) -> DataFrame:
     return canon.canonical_entries(table(spark, folder, PROTEOMICS), "record_id", FIELDS, table(spark, folder, "canonical_terms"))
@@ -29,6 +59,43 @@ def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return _p3(spark, folder).where("term_id = -1").groupBy("field_name", "value").agg(F.count("*").alias("n_records"))
 
 
+# 4. similar sets ------------------------------------------------------------------------------------------
+OVERLAP = 0.5
+
+
+def module_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Each module once with the set of its genes in upper case."""
+    one = packed.one_list_per_key(
+        table(spark, folder, MODULES).where("module_id IS NOT NULL"), "module_id", ["feature_set", "top_genes"], latest="loaded_at"
+    )
+    genes = F.transform(packed.packed_items(F.col("top_genes")), F.upper)
+    return setpairs.set_classes(one.select(F.col("module_id").alias("key"), F.col("feature_set").alias("grp"), genes.alias("items")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of modules of one feature set whose genes overlap by half or more."""
+    scratch = Scratch(spark, "p4")
+    classes = scratch.save(module_sets(spark, folder))
+    pairs = setpairs.expand_pairs(classes, setpairs.similar_classes(classes, OVERLAP, scratch))
+    return pairs.select(F.col("a").cast("bigint").alias("module_id_a"), F.col("b").cast("bigint").alias("module_id_b"))
+
+
+def p4_class_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The degree of overlap of every pair of different gene sets of a feature set."""
+    scratch = Scratch(spark, "p4")
+    classes = scratch.save(module_sets(spark, folder))
+    pairs = setpairs.similar_classes(classes, OVERLAP, scratch)
+    return pairs.select("grp", F.least("cls_a", "cls_b").alias("set_a"), F.greatest("cls_a", "cls_b").alias("set_b"), "common", F.round("overlap", 6).alias("overlap"))
+
+
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Per module its class and the number of modules it is similar to."""
+    scratch = Scratch(spark, "p4")
+    classes = scratch.save(module_sets(spark, folder))
+    links = setpairs.link_counts(classes, setpairs.similar_classes(classes, OVERLAP, scratch))
+    return links.select(F.col("key").alias("module_id"), F.col("grp").alias("feature_set"), F.col("cls").alias("set_id"), "n_links")
+
+
 # 6. percentiles -------------------------------------------------------------------------------------------
 def scored_samples(spark: SparkSession, folder: str) -> DataFrame:
     """Each sample, release and score type once, with the tissue of the sample's metadata."""
@@ -123,7 +190,7 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p3_found, p3_unmatched, p6_found, p6_quartiles, p6_merged_releases, p7_containers, p7_fill, p8_found, p8_tiles, p8_leaked_items, p9_found, p9_canonical)
+        for f in (p1_found, p1_clusters, p4_found, p4_class_pairs, p4_links, p3_found, p3_unmatched, p6_found, p6_quartiles, p6_merged_releases, p7_containers, p7_fill, p8_found, p8_tiles, p8_leaked_items, p9_found, p9_canonical)
     }
 
 
@@ -137,7 +204,13 @@ _QUARTILES = f"""WITH {_SAMPLES} SELECT release_id, tissue, score_type, ecm_prog
 
 
 def oracle_sql() -> dict[str, str]:
+    modules = f"SELECT module_id, feature_set, top_genes, row_number() OVER (PARTITION BY module_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM {MODULES}"
+    sets = f"""sets AS (SELECT row_key AS module_id, feature_set, list_sort(list(DISTINCT upper(item))) AS items FROM ({numbered.oracle_sql()['p2_found']})
+        JOIN ({modules}) m ON m.module_id = row_key AND rn = 1 AND feature_set IS NOT NULL WHERE field_name = 'top_genes' GROUP BY 1, 2)"""
+    pairs = """pairs AS (SELECT a.module_id AS a, b.module_id AS b, len(list_intersect(a.items, b.items)) AS c, len(a.items) AS na, len(b.items) AS nb
+        FROM sets a JOIN sets b ON a.feature_set = b.feature_set AND a.module_id < b.module_id)"""
     return {
+        "p4_found": f"WITH {sets}, {pairs} SELECT a AS module_id_a, b AS module_id_b FROM pairs WHERE 3 * c >= na + nb",
         "p6_found": f"""SELECT DISTINCT release_id, tissue, score_type, ecm_program FROM {SUMMARY} JOIN ({_QUARTILES}) USING (release_id, tissue, score_type, ecm_program)
             WHERE abs(median_score - median) > 0.05 OR abs(q25_score - q25) > 0.05 OR abs(q75_score - q75) > 0.05""",
         "p6_quartiles": f"SELECT release_id, tissue, score_type, ecm_program, n, round(q25, 6) AS q25, round(median, 6) AS median, round(q75, 6) AS q75 FROM ({_QUARTILES})",
