@@ -50,7 +50,6 @@ class Scratch:
         self.spark = spark
         self.at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.written: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the written table."""
@@ -59,13 +58,12 @@ class Scratch:
         schema = df.schema
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        self.written[id(out)] = path
-        self._last = path
+        out._scratch_path = path
         return out
 
     def drop(self, df: DataFrame | None) -> None:
-        """Delete a table saved here that nothing reads any more."""
-        path = self.written.pop(id(df), None) if df is not None else None
+        """Delete a table saved here that nothing reads any more; tables derived from one are not touched."""
+        path = getattr(df, "_scratch_path", None)
         if path:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
