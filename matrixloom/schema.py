@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The nine curated programs in their reporting order.
 PROGRAM_ORDER = (
-    "Vascular/stromal interstitial ECM",
+    "Vascular/stromal/interstitial ECM",
     "Epithelial/mucosal basement membrane ECM",
     "CNS/neural ECM",
     "Retinal/sensory ECM",
