@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matrixloom.plans import numbered
+from matrixloom.plans import core, numbered
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return numbered.p2_found(spark, folder)
+    """Five scores of every program in every sample."""
+    return core.program_scores(spark, folder)
 
 
 def queries() -> dict:
-    return numbered.queries()
+    return numbered.queries() | core.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return numbered.oracle_sql()
+    return numbered.oracle_sql() | core.SQL
