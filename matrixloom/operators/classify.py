@@ -68,10 +68,10 @@ def metrics(predictions: DataFrame, label: str, predicted: str = "predicted", by
 
 #: name -> (classifier from number of features and classes, whether features are scaled)
 MODELS: dict[str, tuple[Callable, bool]] = {
-    "logistic": (lambda p, k: LogisticRegression(family="multinomial", weightCol="weight", labelCol="y", featuresCol="x", regParam=0.001, maxIter=30, standardization=False), True),
-    "forest": (lambda p, k: RandomForestClassifier(numTrees=30, maxDepth=10, minInstancesPerNode=2, weightCol="weight", labelCol="y", featuresCol="x", seed=42), False),
-    "bagged_trees": (lambda p, k: RandomForestClassifier(numTrees=20, maxDepth=10, featureSubsetStrategy="all", weightCol="weight", labelCol="y", featuresCol="x", seed=42), False),
-    "dense_network": (lambda p, k: MultilayerPerceptronClassifier(layers=[p, 32, k], labelCol="y", featuresCol="x", maxIter=60, seed=42), True),
+    "logistic": (lambda p, k: LogisticRegression(family="multinomial", weightCol="__weight", labelCol="__y", featuresCol="__x", regParam=0.001, maxIter=30, standardization=False), True),
+    "forest": (lambda p, k: RandomForestClassifier(numTrees=30, maxDepth=10, minInstancesPerNode=2, weightCol="__weight", labelCol="__y", featuresCol="__x", seed=42), False),
+    "bagged_trees": (lambda p, k: RandomForestClassifier(numTrees=20, maxDepth=10, featureSubsetStrategy="all", weightCol="__weight", labelCol="__y", featuresCol="__x", seed=42), False),
+    "dense_network": (lambda p, k: MultilayerPerceptronClassifier(layers=[p, 32, k], labelCol="__y", featuresCol="__x", maxIter=60, seed=42), True),
 }
 
 
@@ -87,14 +87,14 @@ def cross_validate(df: DataFrame, features: list[str], label: str, models: list[
     out = None
     for name in models:
         for f in folds:
-            train = balanced_weights(data.where(F.col("fold") != f), label)
+            train = balanced_weights(data.where(F.col("fold") != f), label, "__weight")
             test = data.where(F.col("fold") == f)
             try:
                 make, scaled = MODELS[name]
                 k = train.select(label).distinct().count()
-                raw = "raw" if scaled else "x"
-                stages = [StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol=raw)]
-                stages += [StandardScaler(inputCol="raw", outputCol="x", withMean=True)] if scaled else []
+                raw = "__raw" if scaled else "__x"
+                stages = [StringIndexer(inputCol=label, outputCol="__y", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol=raw)]
+                stages += [StandardScaler(inputCol="__raw", outputCol="__x", withMean=True)] if scaled else []
                 fitted = Pipeline(stages=[*stages, make(len(features), k)]).fit(train)
                 names = F.array(*[F.lit(x) for x in fitted.stages[0].labels])
                 told = fitted.transform(test).withColumn("predicted", F.element_at(names, (F.col("prediction") + 1).cast("int")))
