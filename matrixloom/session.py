@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,14 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps that have been saved and are referred to no more.
+
+        It deletes them when the driver's JVM collects its garbage, which a long run of small steps hardly causes.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table saved here that nothing reads any more; tables derived from one are not touched."""
         path = getattr(df, "_scratch_path", None)
