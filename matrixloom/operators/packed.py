@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 # The delimiters seen in list fields, among them the full-width comma and semicolon.
 DELIMITERS = ",;|\t\n\r，；"
-# Blanks that surround items (a pattern class for Java regular expressions).
-BLANK = r"[\s  -​ 　﻿]"
+# Blanks that surround items.
+BLANKS = " \t\n\r\x0b\x0c\u00a0" + "".join(map(chr, range(0x2000, 0x200C))) + "\u202f\u3000\ufeff"
 MARK, END = "\u0001", "\u0002"
 
 
@@ -33,9 +33,9 @@ def packed_items(text: Column, delimiters: str = DELIMITERS) -> Column:
     d = "[" + "".join("\\" + c if c in "|[]^-\\" else c for c in delimiters) + "]"
     # possessive groups: Java matches them in a loop, not by recursion, so long texts are safe
     quoted = "\"[^\"]*+(?:\"\"[^\"]*+)*+\"|'[^']*+(?:''[^']*+)*+'"
-    blank = r"[   -​ 　﻿]*+"
+    blank = r"[ \u00a0\u2000-\u200b\u202f\u3000\ufeff]*+"
     span = f"(?<=^|{d}){blank}({quoted}){blank}(?=$|{d})"
-    trim = lambda c: F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    trim = lambda c: F.trim(c, F.lit(BLANKS))
 
     body = trim(F.coalesce(text, F.lit("")))
     body = F.when(body.rlike(r"(?s)^\[.*\]$|^\{.*\}$"), body.substr(F.lit(2), F.length(body) - 2)).otherwise(body)
@@ -55,12 +55,11 @@ def packed_items(text: Column, delimiters: str = DELIMITERS) -> Column:
             F.transform(pieces, lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(MARK), i.cast("string"), F.lit(END))).otherwise(p)), ""
         )
 
-        def restore(raw: Column) -> Column:
-            t = trim(raw)
-            at = F.regexp_extract(t, f"^{MARK}([0-9]+){END}$", 1)
-            return F.when(at != "", trim(unmark(unquote(F.get(spans, F.when(at != "", at.cast("int")).otherwise(0)))))).otherwise(unmark(t))
+        def restore(t: Column) -> Column:
+            at = F.try_element_at(spans, t.substr(F.lit(2), F.length(t) - 2).try_cast("int") + 1)
+            return F.when(~t.contains(MARK), t).when(t.rlike(f"^{MARK}[0-9]+{END}$"), trim(unmark(unquote(at)))).otherwise(unmark(t))
 
-        return F.filter(F.transform(F.split(masked, d, -1), restore), lambda x: x != "")
+        return F.filter(F.transform(F.transform(F.split(masked, d, -1), trim), restore), lambda x: x != "")
 
     # the struct is bound once: pieces and spans are not computed again for each item
     return F.flatten(F.transform(F.array(state), items))

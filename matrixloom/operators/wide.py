@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matrixloom.operators.packed import BLANKS
 from matrixloom.operators.segments import run_starts, whole_runs
 from matrixloom.schema import require_columns
 
@@ -31,7 +32,7 @@ BLOCK_BYTES = 24 << 20
 
 def clean_symbol(c: Column) -> Column:
     """Upper case without any white space around; blank, NAN and NONE become null."""
-    s = F.upper(F.regexp_replace(c, r"^[\s  -​ 　﻿]+|[\s  -​ 　﻿]+$", ""))
+    s = F.upper(F.trim(c, F.lit(BLANKS)))
     return F.when(~s.isin("", "NAN", "NONE"), s)
 
 
