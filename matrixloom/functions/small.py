@@ -1,0 +1,16 @@
+"""Dimension tables whose size is checked before a join may broadcast them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def size_checked(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` as a table of known size if it has at most ``most`` rows, else ``df`` itself.
+
+    An aggregate has no size that the planner knows, so a join with it would shuffle the large side by a few
+    hot keys. A small one is computed here once; the planner then sees its size and broadcasts it or not by
+    its own threshold. A large one is joined by a shuffle.
+    """
+    rows = df.limit(most + 1).collect()
+    return df if len(rows) > most else df.sparkSession.createDataFrame(rows, df.schema)

@@ -10,18 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matrixloom.functions.numbers import average_rank, log2p, minmax, number, safe_div, zscore
+from matrixloom.functions.small import size_checked
 from matrixloom.functions.text import normalize_name
 
 
 def unpivot_wide(df: DataFrame, key: str, columns: list[str] | None = None, fill: float | None = 0.0) -> DataFrame:
     """A wide table as cells. Gene names are upper-cased; null and NaN become ``fill`` (None: rows are dropped).
 
-    Repeated rows of a key count once. Rows with a null key are dropped.
+    Repeated rows of a key count once, with the greatest value of each column. Rows with a null key are dropped.
     """
     columns = [c for c in df.columns if c != key] if columns is None else columns
-    cells = F.array(*[F.struct(F.lit(c.upper()).alias("gene"), number(F.col(f"`{c}`")).alias("value")) for c in columns])
-    once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("sample_id")).agg(F.max(cells).alias("cells"))
-    out = once.select("sample_id", F.explode("cells").alias("c")).select("sample_id", "c.gene", "c.value")
+    # one hash aggregate of plain doubles; the cells are made of its rows afterwards
+    once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("sample_id")).agg(*[F.max(number(F.col(f"`{c}`"))).alias(f"__{i}") for i, c in enumerate(columns)])
+    cells = F.explode(F.array(*[F.struct(F.lit(c.upper()).alias("gene"), F.col(f"__{i}").alias("value")) for i, c in enumerate(columns)]))
+    out = once.select("sample_id", cells.alias("c")).select("sample_id", "c.gene", "c.value")
     return out.where("value IS NOT NULL") if fill is None else out.withColumn("value", F.coalesce("value", F.lit(float(fill))))
 
 
@@ -70,8 +72,8 @@ def zscores_by_moments(cells: DataFrame, moments: DataFrame | None = None) -> Da
 
     One gene's cells are never gathered in one task, however many samples there are.
     """
-    m = gene_moments(cells) if moments is None else moments
-    return cells.join(m.select("gene", "mean", "sd"), "gene", "left").select(
+    m = size_checked((gene_moments(cells) if moments is None else moments).select("gene", "mean", "sd"))
+    return cells.join(m, "gene", "left").select(
         *cells.columns, F.coalesce(safe_div(F.col("value") - F.col("mean"), F.nullif(F.round("sd", 12), F.lit(0.0))), F.lit(0.0)).alias("z")
     )
 

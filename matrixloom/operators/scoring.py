@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrixloom.functions.numbers import safe_div
+from matrixloom.functions.small import size_checked
 from matrixloom.operators.matrix import gene_moments, rank_percentiles, row_quantiles, zscores_by_moments
 
 METHODS = ("mean", "zscore_mean", "rank_percentile", "top10_fraction", "top20_fraction")
@@ -31,7 +32,7 @@ def score_programs(cells: DataFrame, bridge: DataFrame, methods: tuple[str, ...]
         "mean": lambda: F.avg("value"), "zscore_mean": lambda: F.avg("z"), "rank_percentile": lambda: F.avg("pct"),
         "top10_fraction": lambda: F.avg((F.col("value") >= F.col("q0")).cast("double")), "top20_fraction": lambda: F.avg((F.col("value") >= F.col("q1")).cast("double")),
     }
-    return c.join(bridge, "gene").groupBy("sample_id", "program").agg(F.count("*").alias("n_genes"), *[of[m]().alias(m) for m in methods])
+    return c.join(size_checked(bridge), "gene").groupBy("sample_id", "program").agg(F.count("*").alias("n_genes"), *[of[m]().alias(m) for m in methods])
 
 
 def tidy_scores(scores: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
@@ -46,7 +47,7 @@ def sparse_scores(counts: DataFrame, bridge: DataFrame, samples: DataFrame | Non
     With ``samples`` every sample has a row for every program that has genes, 0 where none of them is counted.
     """
     genes = counts.select("gene").distinct()
-    b = bridge.join(genes, "gene", "left_semi")
+    b = size_checked(bridge.join(genes, "gene", "left_semi"))
     n = b.groupBy("program").agg(F.count("*").alias("n_available"))
     s = counts.join(b, "gene").groupBy("sample_id", "program").agg(F.sum("value").alias("total")).join(n, "program")
     out = s.select("sample_id", "program", (F.col("total") / F.col("n_available")).alias("score"))
@@ -67,7 +68,7 @@ def sparse_zscore_means(counts: DataFrame, bridge: DataFrame, n_samples: int) ->
     m = counts.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     m = m.select("gene", (F.col("s") / n_samples).alias("mean"), F.sqrt(F.greatest(F.col("ss") / n_samples - (F.col("s") / n_samples) ** 2, F.lit(0.0))).alias("sd"))
     m = m.withColumn("sd", F.nullif(F.round("sd", 12), F.lit(0.0)))
-    b = bridge.join(m, "gene")
+    b = size_checked(bridge.join(m, "gene"))
     base = b.groupBy("program").agg(F.count("*").alias("n"), F.sum(F.coalesce(safe_div(-F.col("mean"), F.col("sd")), F.lit(0.0))).alias("base"))
     own = counts.join(b, "gene").groupBy("sample_id", "program").agg(F.sum(F.coalesce(safe_div(F.col("value"), F.col("sd")), F.lit(0.0))).alias("own"))
     return own.join(base, "program").select("sample_id", "program", ((F.col("own") + F.col("base")) / F.col("n")).alias("score"))
@@ -85,7 +86,7 @@ def foldwise_scores(cells: DataFrame, bridge: DataFrame, folds: DataFrame) -> Da
     m = part.join(total, "gene").select("gene", F.col("fold").alias("test_fold"), (F.col("tn") - F.col("n")).alias("n"), (F.col("ts") - F.col("s")).alias("s"), (F.col("tss") - F.col("ss")).alias("ss"))
     m = m.where("n > 0").select("gene", "test_fold", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0))).alias("sd"))
     z = F.coalesce(safe_div(F.col("value") - F.col("mean"), F.nullif(F.round("sd", 9), F.lit(0.0))), F.lit(0.0))
-    s = f.join(bridge, "gene").join(m, "gene").withColumn("z", z)
+    s = f.join(size_checked(bridge), "gene").join(size_checked(m), "gene").withColumn("z", z)
     return s.groupBy(F.col("test_fold").alias("fold"), "sample_id", "program", (F.col("fold") == F.col("test_fold")).alias("is_test")).agg(F.avg("z").alias("score"))
 
 

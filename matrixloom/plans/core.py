@@ -691,9 +691,11 @@ def stream_scores(spark, folder):
 
     path = f"{folder}/{EXPRESSION}.parquet"
     genes = [c for c in table(spark, folder, EXPRESSION).columns if c != "sample_id"]
-    out = f"{Scratch(spark, 'stream').at}"
+    static = Scratch(spark, "stream")
+    moments = static.save(matrix.gene_moments(cells(spark, folder)))
+    out = f"{static.at}/scores"
     stream = scorer.open_table_stream(spark, path).where("sample_id IS NOT NULL")
-    scored_ = scorer.score_stream(stream, "sample_id", genes, bridge(spark, folder), matrix.gene_moments(cells(spark, folder)))
+    scored_ = scorer.score_stream(stream, "sample_id", genes, static.save(bridge(spark, folder)), moments)
     scorer.run_once(scored_, out)
     return show(spark.read.parquet(f"{out}/rows").dropDuplicates(["sample_id", "program"]))
 

@@ -14,16 +14,18 @@ def score_stream(stream: DataFrame, key: str, genes: list[str], bridge: DataFram
     Gene moments and programs are static; a sample is complete in its row, so its scores need no state: the
     programs' genes are gathered per program beforehand and each row is scored by array functions.
     """
-    p = bridge.join(moments, "gene").where(F.col("gene").isin([g.upper() for g in genes])).groupBy("program").agg(
-        F.array_sort(F.collect_list(F.struct("gene", "mean", "sd"))).alias("parts")
+    at = bridge.sparkSession.createDataFrame([(g.upper(), i) for i, g in enumerate(genes)], "gene STRING, i INT")
+    sd = F.nullif(F.round("sd", 12), F.lit(0.0))
+    p = bridge.join(moments, "gene").join(F.broadcast(at), "gene").groupBy("program").agg(
+        F.collect_list(F.struct("i", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce(safe_div(F.lit(1.0), sd), F.lit(0.0)).alias("scale"))).alias("parts")
     )
-    values = F.map_from_arrays(F.array(*[F.lit(g.upper()) for g in genes]), F.array(*[F.coalesce(number(F.col(f"`{g}`")), F.lit(0.0)) for g in genes]))
+    values = F.array(*[F.coalesce(number(F.col(f"`{g}`")), F.lit(0.0)) for g in genes])
     # programs are a fixed short list, so each row meets all of them by a broadcast
-    j = stream.select(F.col(key).alias("sample_id"), values.alias("m")).join(F.broadcast(p))
-    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda a, x: a + f(x))
-    mean = total(lambda x: F.try_element_at("m", x["gene"])) / F.size("parts")
-    z = total(lambda x: F.coalesce(safe_div(F.try_element_at("m", x["gene"]) - x["mean"], F.nullif(F.round(x["sd"], 12), F.lit(0.0))), F.lit(0.0))) / F.size("parts")
-    return j.select("sample_id", "program", F.size("parts").alias("n_genes"), mean.alias("mean"), z.alias("zscore_mean"))
+    j = stream.select(F.col(key).alias("sample_id"), values.alias("v")).join(F.broadcast(p))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("z"))
+    sums = F.aggregate("parts", start, lambda a, x: F.struct((a["s"] + F.get("v", x["i"])).alias("s"), (a["z"] + (F.get("v", x["i"]) - x["mean"]) * x["scale"]).alias("z")))
+    out = j.select("sample_id", "program", F.size("parts").alias("n_genes"), sums.alias("t"))
+    return out.select("sample_id", "program", "n_genes", (F.col("t.s") / F.col("n_genes")).alias("mean"), (F.col("t.z") / F.col("n_genes")).alias("zscore_mean"))
 
 
 def run_once(stream: DataFrame, folder: str) -> None:
