@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,13 +205,33 @@ _QUARTILES = f"""WITH {_SAMPLES} SELECT release_id, tissue, score_type, ecm_prog
   quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q75 FROM long GROUP BY 1, 2, 3, 4"""
 
 
+def _reading_sql(c: str) -> str:
+    """The reading of a text by table, for the characters of the European blocks and the full-width forms."""
+    blocks = [*range(0xA0, 0x530), *range(0x1F00, 0x2070), 0x3000, *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]
+    to = {chr(x): unicodedata.normalize("NFC", lookalike.fold_text(chr(x))) for x in blocks if not unicodedata.combining(chr(x))}
+    changed = {k: v for k, v in to.items() if v != k}
+    one = {k: v for k, v in changed.items() if len(v) == 1}
+    quote = lambda x: x.replace("'", "''")
+    out = f"translate(replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{quote(''.join(one))}', '{quote(''.join(one.values()))}')"
+    for k, v in changed.items():
+        if len(v) != 1:
+            out = f"replace({out}, '{k}', '{quote(v)}')"
+    return f"nfc_normalize(replace(replace({out}, chr(65279), ''), chr(9), ' '))"
+
+
 def oracle_sql() -> dict[str, str]:
+    read = _reading_sql("text")
+    grams = lambda key, col, src: f"""SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram
+        FROM (SELECT {key}, regexp_extract_all(lower({_reading_sql(col)}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {src})"""
     modules = f"SELECT module_id, feature_set, top_genes, row_number() OVER (PARTITION BY module_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM {MODULES}"
     sets = f"""sets AS (SELECT row_key AS module_id, feature_set, list_sort(list(DISTINCT upper(item))) AS items FROM ({numbered.oracle_sql()['p2_found']})
         JOIN ({modules}) m ON m.module_id = row_key AND rn = 1 AND feature_set IS NOT NULL WHERE field_name = 'top_genes' GROUP BY 1, 2)"""
     pairs = """pairs AS (SELECT a.module_id AS a, b.module_id AS b, len(list_intersect(a.items, b.items)) AS c, len(a.items) AS na, len(b.items) AS nb
         FROM sets a JOIN sets b ON a.feature_set = b.feature_set AND a.module_id < b.module_id)"""
     return {
+        "p8_found": f"""WITH d AS ({grams('doc_id', 'text', 'documents')}), i AS ({grams('item_id', 'item_text', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)""",
+        "p9_found": f"""WITH c AS (SELECT doc_id, md5(text) AS w, md5({read}) AS r FROM documents WHERE text IS NOT NULL)
+            SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.r = b.r AND a.w <> b.w AND a.doc_id < b.doc_id""",
         "p4_found": f"WITH {sets}, {pairs} SELECT a AS module_id_a, b AS module_id_b FROM pairs WHERE 3 * c >= na + nb",
         "p6_found": f"""SELECT DISTINCT release_id, tissue, score_type, ecm_program FROM {SUMMARY} JOIN ({_QUARTILES}) USING (release_id, tissue, score_type, ecm_program)
             WHERE abs(median_score - median) > 0.05 OR abs(q25_score - q25) > 0.05 OR abs(q75_score - q75) > 0.05""",
