@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matrixloom.functions import text
 from matrixloom.functions.numbers import rounded
-from matrixloom.operators import classify, controls, decompose, genesets, matrix, packed, pseudobulk, scoring, spatial, stats, summarize
+from matrixloom.operators import classify, consolidate, controls, decompose, genesets, matrix, packed, pseudobulk, scoring, spatial, stats, summarize
 from matrixloom.operators.wide import clean_symbol
 from matrixloom.plans import numbered
 from matrixloom.plans.tables import EXPRESSION, METADATA, MODULES, PROGRAMS, PROTEOMICS, SCORES, table
@@ -677,6 +677,34 @@ def ward_clusters(spark, folder):
     return decompose.cluster_groups(vec.select("sex", "tissue", F.transform("s", lambda x: x["v"]).alias("vec")), "sex", "tissue", "vec", 5)
 
 
+def _grouped(spark, folder):
+    """Modules by their data set."""
+    d = table(spark, folder, MODULES).where("module_id IS NOT NULL").groupBy("module_id").agg(F.max("dataset").alias("dataset"))
+    return modules(spark, folder).select("module_id", F.array_distinct("items").alias("items")).join(d, "module_id").where("dataset IS NOT NULL AND size(items) > 0")
+
+
+@query()
+def module_clusters(spark, folder):
+    """Modules of each data set consolidated by average linkage."""
+    return show(consolidate.clustered_modules(_grouped(spark, folder), "dataset"), cophenetic=4)
+
+
+@query()
+def cluster_programs(spark, folder):
+    """The clusters of each data set assigned to programs one to one."""
+    m, static = _grouped(spark, folder), Scratch(spark, "clusters")
+    c = static.save(consolidate.clustered_modules(m, "dataset"))
+    return show(consolidate.assigned_programs(consolidate.cluster_program_scores(c, m, bridge(spark, folder), "dataset"), "dataset"), score=4)
+
+
+# two vectors per program: the genes it shares with another, and the programs' score ranks
+@query(f"""WITH {_BRIDGE}, {_SCORED}, k AS ({_RANK}), n AS (SELECT program, count(*) AS n FROM bridge GROUP BY 1), j AS (SELECT x.program AS a, y.program AS b, count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS jaccard FROM bridge x JOIN bridge y ON x.gene = y.gene AND x.program < y.program JOIN n nx ON nx.program = x.program JOIN n ny ON ny.program = y.program GROUP BY 1, 2),
+  r AS (SELECT x.program AS a, y.program AS b, corr(x.rk, y.rk) AS s FROM k x JOIN k y ON x.sample_id = y.sample_id AND x.program < y.program GROUP BY 1, 2) SELECT a, b, {r('0.7 * coalesce(jaccard, 0) + 0.3 * greatest(coalesce(s, 0), 0)')} AS similarity FROM j FULL JOIN r USING (a, b)""")
+def combined_program_similarity(spark, folder):
+    o = genesets.overlaps(bridge(spark, folder).withColumnRenamed("program", "name"))
+    return show(consolidate.combined_similarity(o, stats.pair_correlations(scored(spark, folder))))
+
+
 # scans and streams ------------------------------------------------------------------------------------------
 @query()
 def table_profile(spark, folder):
@@ -704,3 +732,10 @@ def stream_scores(spark, folder):
 def json_projection(spark, folder):
     e = table(spark, folder, "events").withColumn("k", F.from_json("props", "k INT")["k"])
     return show(e.groupBy("k", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), total=4)
+
+
+@query(f"SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, {r('sum(value)', 4)} AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, folder):
+    from matrixloom.streaming import scorer
+
+    return show(scorer.event_windows(table(spark, folder, "events"), "ts", "event_type", "value"), total=4)

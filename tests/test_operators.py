@@ -203,3 +203,30 @@ def test_decomposition(spark):
 
 def test_rounding_is_stable(spark):
     assert spark.range(1).select(numbers.rounded(F.lit(-1e-12))).first()[0] == 0.0
+
+
+def test_consolidation(spark):
+    from matrixloom.operators import consolidate
+
+    rows = [("d", 1, list("abcd")), ("d", 2, list("abce")), ("d", 3, list("wxyz")), ("d", 4, list("wxyv")), ("e", 5, ["q"]), ("e", 6, [])]
+    m = spark.createDataFrame(rows, "dataset STRING, module_id BIGINT, items ARRAY<STRING>")
+    c = consolidate.clustered_modules(m, "dataset", 2)
+    got = {r.module_id: r.cluster for r in c.collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0}
+    bridge = spark.createDataFrame([("P", g) for g in "abcd"] + [("Q", g) for g in "wxyzq"], "program STRING, gene STRING")
+    a = consolidate.assigned_programs(consolidate.cluster_program_scores(c, m, bridge, "dataset"), "dataset").collect()
+    assert {(r.dataset, r.cluster): r.program for r in a} == {("d", 0): "P", ("d", 1): "Q", ("e", 0): "Q"}
+    top = spark.createDataFrame([("m1", "c1", "a"), ("m1", "c1", "b"), ("m1", "c2", "x"), ("m2", "k1", "x"), ("m2", "k2", "a")], "model STRING, component STRING, gene STRING")
+    assert consolidate.matched_stability(top, "m1", "m2") == pytest.approx((0.5 + 1.0) / 2)
+
+
+def test_stream_windows(spark, tmp_path):
+    from matrixloom.streaming import scorer
+
+    rows = [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 05:00:00", "b", 5.0)]
+    spark.createDataFrame(rows, "t STRING, k STRING, v DOUBLE").selectExpr("cast(t AS TIMESTAMP) ts", "k", "v").write.parquet(f"{tmp_path}/in.parquet")
+    stream = scorer.open_table_stream(spark, f"{tmp_path}/in.parquet")
+    for _ in range(2):  # the second call finds nothing new
+        scorer.run_once(scorer.event_windows(stream, "ts", "k", "v"), f"{tmp_path}/out")
+    got = [(r.k, r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out/rows").collect()]
+    assert got == [("a", 2, 3.0)]
