@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,8 +68,10 @@ class Scratch:
 
         It deletes them when the driver's JVM collects its garbage, which a long run of small steps hardly causes.
         """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first round finds unused the second one can delete
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table saved here that nothing reads any more; tables derived from one are not touched."""
