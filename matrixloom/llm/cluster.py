@@ -1,8 +1,8 @@
 """Records with alike profiles in clusters: grid density clustering.
 
 Each profile is turned by a few fixed random rotations and quantised: per rotation the grid axes on which it
-lies farthest out, and on which side, are its cells. Records of one cell are neighbours if the Pearson
-correlation of their profiles says so; cells are joined through the records they share, by propagating
+lies farthest out, and on which side, are its cells. All records of a cell are compared, block by block where
+it is full, and are neighbours if the Pearson correlation of their profiles says so; cells are joined through the records they share, by propagating
 minimum labels over the links until nothing changes. A cluster's densest cell holds its typical members.
 """
 
@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from matrixloom.operators.segments import run_starts, whole_runs
 from matrixloom.session import Scratch
 
-#: Rotations; a pair misses all of them with the product of the chances to miss each (about 0.1 at 0.85).
-GRIDS = 4
+#: Rotations by the axes of a cell; a pair misses all of them with the product of the chances to miss each. Cells of
+#: more axes are missed more often and get more grids, so that a pair's recall is no lower than with two axes.
+GRIDS = {2: 4, 3: 8, 4: 14}
 #: Grids whose cells are sent and linked in one step.
 GRIDS_AT_ONCE = 2
-#: Records of a cell that are compared at once; a cell with more is quantised again.
+#: Records of a cell that are compared at once; every block of a cell with more meets every other one.
 CELL_ROWS = 4096
-#: Times that a full cell is quantised again before its blocks are compared pair by pair.
-REFINE = 2
+#: Distinct profiles up to which a cell has two and three axes.
+FEW, MANY = 2_000_000, 120_000_000
+#: Records sent in a batch.
+SENT_ROWS = 100_000
 MISSING = -128
 #: The correlation of the 8-bit profiles is off by less than this; closer calls go back to the values.
 MARGIN = 0.025
@@ -117,34 +120,27 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _in_cells(q: np.ndarray, axes: int, full: list[dict[int, int]], grids: range) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of all cells in the grids named; a full cell gives way to its finer ones, or to pairs of blocks."""
+def _in_cells(q: np.ndarray, axes: int, full: dict[int, int], grids: range) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of all cells in the grids named; a cell of ``full`` gives way to all pairs of its blocks, two at least."""
     row, cell = [], []
     u = _unit(q)
     digest = q.astype(np.int64) @ np.random.default_rng(5).integers(1, 2**40, q.shape[1])
+    hot = np.fromiter(full, np.int64, len(full))
     for g in grids:
         cells = _cells(u, g, axes)
         r, c = np.repeat(np.arange(len(u)), cells.shape[1]), cells.ravel()
-        for level, hot in enumerate(full):
-            if not hot:
-                break
-            over = np.isin(c, np.fromiter(hot, np.int64, len(hot)))
-            row.append(r[~over])
-            cell.append(c[~over])
-            r, c = r[over], c[over]
-            if not len(r):
-                break
-            if level < REFINE:
-                finer = _cells(u[r], 100 + 10 * g + level, axes)
-                r, c = np.repeat(r, finer.shape[1]), _mix(np.repeat(c, finer.shape[1]), finer.ravel())
-            else:
-                blocks = np.array([-(-2 * hot[x] // CELL_ROWS) for x in c.tolist()], np.int64)
-                own = (_mix(digest[r], np.full(len(r), level)) & np.int64(2**62 - 1)) % blocks
-                rr, oo = np.repeat(np.arange(len(r)), blocks), np.concatenate([np.arange(n) for n in blocks])
-                low, high = np.minimum(own[rr], oo), np.maximum(own[rr], oo)
-                r, c = r[rr], _mix(c[rr], low * 1_000_003 + high)
-        row.append(r)
-        cell.append(c)
+        over = np.isin(c, hot)
+        row.append(r[~over])
+        cell.append(c[~over])
+        r, c = r[over], c[over]
+        if len(r):
+            blocks = np.array([full[x] for x in c.tolist()], np.int64)
+            own = (_mix(digest[r], np.zeros(len(r), np.int64)) & np.int64(2**62 - 1)) % blocks
+            at, oo = np.repeat(np.arange(len(r)), blocks), np.concatenate([np.arange(n) for n in blocks])
+            at, oo = at[other := oo != own[at]], oo[other]  # rows of one block meet in its pairs with others
+            low, high = np.minimum(own[at], oo), np.maximum(own[at], oo)
+            row.append(r[at])
+            cell.append(_mix(c[at], low * 1_000_003 + high))
     return np.concatenate(row), np.concatenate(cell)
 
 
@@ -202,7 +198,7 @@ def cell_links(q: np.ndarray, threshold: float, u: np.ndarray | None = None) ->
     return label, (i[close], j[close])
 
 
-def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: int = GRIDS, axes: int | None = None) -> DataFrame:
+def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: int | None = None, axes: int | None = None) -> DataFrame:
     """(a, b, sure): links among the ids of alike records; those that aren't sure need an exact check.
 
     Each component of a cell is a star around its smallest id, so cells with the same members give the same links.
@@ -212,28 +208,19 @@ def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: in
     copies = scratch.save(some.groupBy("vec").agg(F.min("id").alias("id")).select("id", F.xxhash64("vec").alias("h"), "vec"))
     n = copies.count()
     scratch.release()
-    # cells per grid grow with the axes: two for up to two million profiles, one more for each factor of 60
-    axes = axes or (2 if n <= 2_000_000 else 3 if n <= 120_000_000 else 4)
+    # cells per grid grow with the axes, so that cells stay small; the grids make up for what more axes miss
+    axes = axes or (2 if n <= FEW else 3 if n <= MANY else 4)
+    grids = grids or GRIDS[axes]
 
-    def count_cells(full: list[dict[int, int]]) -> dict[int, int]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    cells, k = np.unique(_in_cells(_vectors(b.column(0)), axes, full, range(grids))[1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(k)], names=["cell", "n"])
-
-        counts = copies.select("vec").mapInArrow(run, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n"))
-        # at most copies x cells / CELL_ROWS cells can be full
-        return {r[0]: r[1] for r in counts.where(F.col("n") > CELL_ROWS).collect()}
-
-    full: list[dict[int, int]] = []
-    for _ in range(REFINE + 1):
-        hot = count_cells(full)
-        known = set().union(*full) if full else set()
-        hot = {k: v for k, v in hot.items() if k not in known}
-        if not hot:
-            break
-        full.append(hot)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cells, k = np.unique(_in_cells(_vectors(b.column(0)), axes, {}, range(grids))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(k)], names=["cell", "n"])
+
+    counts = copies.select("vec").mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n"))
+    # at most copies x cells / CELL_ROWS cells can be full
+    full = {r[0]: -(-2 * r[1] // CELL_ROWS) for r in counts.where(F.col("n") > CELL_ROWS).collect()}
 
     def spread(some_grids: range):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +228,9 @@ def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: in
                 for s in range(0, b.num_rows, 2000):
                     part = b.slice(s, 2000)
                     row, cell = _in_cells(_vectors(part.column(1)), axes, full, some_grids)
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), part.column(0).take(at), part.column(1).take(at)], names=["cell", "id", "vec"])
+                    for c in range(0, len(row), SENT_ROWS):
+                        at = pa.array(row[c : c + SENT_ROWS])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[c : c + SENT_ROWS]), part.column(0).take(at), part.column(1).take(at)], names=["cell", "id", "vec"])
 
         return run
 
@@ -334,7 +322,7 @@ def star_labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(nodes.unionByName(roots.join(centres, "id", "left").select("id", F.coalesce("label", "id").alias("label"))))
 
 
-def clusters(df: DataFrame, key: str, features: list[str], threshold: float, scratch: Scratch, grids: int = GRIDS) -> DataFrame:
+def clusters(df: DataFrame, key: str, features: list[str], threshold: float, scratch: Scratch, grids: int | None = None) -> DataFrame:
     """(cluster_id, key): the records of all clusters of at least two distinct records.
 
     Two records are alike if the Pearson correlation of their profiles, over the features that are neither
@@ -371,7 +359,7 @@ def cluster_report(df: DataFrame, key: str, features: list[str], members: DataFr
 
     def first_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, cell = _in_cells(_vectors(b.column(1)), 2, [], range(1))
+            row, cell = _in_cells(_vectors(b.column(1)), 2, {}, range(1))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell)], names=["key", "cell"])
 
     cells = points.select("key", "vec").mapInArrow(first_cell, "key STRING, cell BIGINT").join(members, "key")

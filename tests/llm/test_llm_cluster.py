@@ -57,6 +57,26 @@ def test_recall_at_the_threshold(spark, scratch):
     assert got <= expect and len(got) >= 0.9 * len(expect)
 
 
+def test_recall_with_more_axes_and_full_cells(spark, scratch, monkeypatch):
+    """Cells of three axes and full cells, as large tables have them, lose no more pairs than the few rows above."""
+    rng = np.random.default_rng(77)
+    a, e = rng.standard_normal((300, 64)), rng.standard_normal((300, 64))
+    keys = [f"s{i:04d}" for i in range(600)]
+    df, genes = table_of(spark, keys, np.concatenate([a, a + 0.55 * e]))
+    points = scratch.save(cluster.quantised_profiles(df, "sid", genes))
+    key = {r.id: int(r.key[1:]) for r in points.select("id", "key").collect()}
+
+    def found(**how):
+        pairs = {tuple(sorted((key[r.a], key[r.b]))) for r in cluster.alike_links(points, 0.85, scratch, **how).collect()}
+        return {p for p in pairs if p[0] + 300 == p[1]}
+
+    every = sum(np.corrcoef(x, y)[0, 1] >= 0.85 for x, y in zip(a, a + 0.55 * e))
+    assert len(found(axes=3)) >= 0.9 * every
+    plain = found(axes=1, grids=1)
+    monkeypatch.setattr(cluster, "CELL_ROWS", 4)
+    assert plain and found(axes=1, grids=1) == plain
+
+
 def test_edge_rows(spark, scratch):
     x = np.array([[1, 2, 3, 4.0], [2, 4, 6, 8.0], [5, 5, 5, 5.0], [np.nan] * 4, [np.nan, np.nan, 1, 2], [1, 2, 3, np.inf], [4, 3, 2, 1.0]])
     df, genes = table_of(spark, ["a", "b", "c", "d", "e", "f", None], x)
