@@ -613,13 +613,13 @@ def cv_metrics(spark, folder):
     return show(classify.metrics(_majority(spark, folder), "tissue", by=["fold"]))
 
 
-def _cv(spark, folder, models, folds=None):
+def _cv(spark, folder, models):
     programs = list(PROGRAM_ORDER)
     wide = scored(spark, folder).groupBy("sample_id").pivot("program", programs).agg(F.first("score"))
     wide = wide.toDF("sample_id", *[slug_text(p) for p in programs])
     m = text.map_label(metadata(spark, folder).where("tissue IS NOT NULL"), "tissue", text.TISSUE_SYSTEM, "system", "Other")
-    data = classify.grouped_folds(m.select("sample_id", "subject_id", "system").join(wide, "sample_id"), "subject_id", 3)
-    return classify.cross_validate(data, [slug_text(p) for p in programs], "system", models, folds)
+    data = classify.grouped_folds(m.select("sample_id", "subject_id", "system").join(wide, "sample_id"), "subject_id", 5)
+    return classify.cross_validate(data, [slug_text(p) for p in programs], "system", models)
 
 
 @query()
@@ -630,8 +630,8 @@ def logreg_cv(spark, folder):
 
 @query()
 def model_comparison(spark, folder):
-    """Fold summaries of several models and the best by macro F1."""
-    s = classify.fold_summary(_cv(spark, folder, ["logistic", "forest"], [0]), ["model"])
+    """Fold summaries of all models and the best by macro F1."""
+    s = classify.fold_summary(_cv(spark, folder, list(classify.MODELS)), ["model"])
     best = classify.best_per(s.withColumn("task", F.lit("system")), ["task"], "mean_macro_f1", "model").select(F.col("model").alias("best"))
     return show(s.join(F.broadcast(best)).withColumn("is_best", F.col("model") == F.col("best")).drop("best"))
 
