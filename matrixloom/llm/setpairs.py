@@ -99,6 +99,14 @@ def _leaf_pairs(threshold: float):
     return run
 
 
+def _in_blocks(rows: DataFrame, leaf: int) -> DataFrame:
+    """The rows of large nodes in smaller ones, so that every block of a node meets every other one."""
+    m = F.ceil(F.col("members") / F.lit(leaf / 2)).cast("int")
+    block = F.pmod(F.xxhash64("rid"), m).cast("int")
+    met = rows.withColumn("o", F.explode(F.sequence(F.lit(0), m - 1)))
+    return met.select(F.xxhash64("node", F.least(block, "o"), F.greatest(block, "o")).alias("node"), "rid", "side", "toks")
+
+
 def similar_classes(
     classes: DataFrame, threshold: float, scratch: Scratch, other: DataFrame | None = None, recall: float = 0.9999,
     leaf: int = LEAF, max_depth: int = MAX_DEPTH, spread: float = SPREAD,
@@ -126,11 +134,11 @@ def similar_classes(
         big = level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > leaf)
         small = level.join(big, "node", "left_anti").select("node", "rid", "side", "toks")
         rest = level.join(big, "node")
-        if depth == max_depth:  # every block of such a node meets every other one
-            m = F.ceil(F.col("members") / F.lit(leaf / 2)).cast("int")
-            block = F.pmod(F.xxhash64("rid"), m).cast("int")
-            rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), m - 1)))
-            small = small.unionByName(rest.select(F.xxhash64("node", F.least(block, "o"), F.greatest(block, "o")).alias("node"), "rid", "side", "toks"))
+        if depth == max_depth:
+            small = small.unionByName(_in_blocks(rest, leaf))
+        elif depth:  # two sets that share the path alone have no common child; at the threshold such sets are that short
+            short = rest.drop("members").where(F.size("toks") * F.lit(threshold) <= F.lit(depth + 1e-9))
+            small = small.unionByName(_in_blocks(short.join(short.groupBy("node").agg(F.count("*").alias("members")), "node"), leaf))
         ordered = small.repartition("node").sortWithinPartitions("node")
         found.append(scratch.save(ordered.mapInArrow(_leaf_pairs(threshold), "a BIGINT, b BIGINT").distinct()))
         if depth == max_depth or big.isEmpty():

@@ -45,6 +45,14 @@ def test_many_alike_in_one_node(spark, scratch):
     assert setpairs.similar_classes(classes, 0.5, scratch, leaf=32, max_depth=2).count() == 300 * 299 // 2
 
 
+def test_short_sets_in_a_full_node(spark, scratch):
+    sets = [["t"], ["t", "u"], *[["t", f"b{k}"] for k in range(200)], *[["t", "u", f"a{k}"] for k in range(200)]]
+    rows = [(k, "g", v) for k, v in enumerate(sets)]
+    classes = scratch.save(setpairs.set_classes(spark.createDataFrame(rows, "key INT, grp STRING, items ARRAY<STRING>")))
+    got = {(r.a, r.b) for r in setpairs.expand_pairs(classes, setpairs.similar_classes(classes, 0.5, scratch)).collect()}
+    assert got == brute_pairs(rows, 0.5)
+
+
 def test_between_two_tables_and_empty(spark, scratch):
     a = spark.createDataFrame([(1, "g", ["x", "y"]), (2, "g", ["z"])], "key INT, grp STRING, items ARRAY<STRING>")
     b = spark.createDataFrame([(7, "g", ["x", "y", "w"]), (8, "h", ["z"]), (9, "g", ["z"])], "key INT, grp STRING, items ARRAY<STRING>")
