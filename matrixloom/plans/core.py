@@ -230,6 +230,15 @@ def module_overlap_between_sets(spark, folder):
     return show(o.select("a", "b", "n", "jaccard", "overlap"))
 
 
+@query()
+def module_overlap_within_sets(spark, folder):
+    """All modules of each feature set against one another."""
+    m = modules(spark, folder).where("feature_set IS NOT NULL").select("feature_set", F.col("module_id").alias("name"), F.explode("items").alias("gene"))
+    # a gene counts per feature set, so that modules of different ones never meet
+    o = genesets.overlaps(m.select("name", F.concat_ws("|", "feature_set", "gene").alias("gene")))
+    return show(o.join(m.select(F.col("name").alias("a"), "feature_set").distinct(), "a").select("feature_set", "a", "b", "n", "jaccard", "overlap"))
+
+
 _MATCH = f"""WITH {_MODULES}, {_BRIDGE}, s AS (SELECT DISTINCT module_id, gene FROM items), k AS (SELECT module_id, count(*) AS na FROM s GROUP BY 1), kb AS (SELECT program, count(*) AS nb FROM bridge GROUP BY 1),
   p AS (SELECT module_id AS a, program AS b, count(*) AS n, any_value(na) AS na, any_value(nb) AS nb FROM s JOIN bridge USING (gene) JOIN k USING (module_id) JOIN kb USING (program) GROUP BY 1, 2),
   best AS (SELECT *, n / (na + nb - n) AS j, n / least(na, nb) AS o FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY n / least(na, nb) DESC, n / (na + nb - n) DESC, n DESC, b) = 1)"""
@@ -410,8 +419,18 @@ def donor_variability(spark, folder):
   UNION ALL SELECT program, tissue, 'zscore_mean', avg(z) FROM z JOIN bridge USING (gene) JOIN meta USING (sample_id) WHERE tissue IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY program, method ORDER BY round(score, 9) DESC, item) AS rank FROM s QUALIFY rank <= 10)
   SELECT program, item, count(DISTINCT method) AS n_methods, string_agg(DISTINCT method, ', ' ORDER BY method) AS methods, CAST(min(rank) AS INTEGER) AS best_rank, {r('avg(score)')} AS mean_score, {r('max(score)')} AS max_score, count(DISTINCT method) >= 2 AS consensus FROM t GROUP BY 1, 2""")
 def cross_method_consensus(spark, folder):
-    s = scoring.score_programs(cells(spark, folder), bridge(spark, folder), ("mean", "zscore_mean"))
-    t = scoring.tidy_scores(s, ("mean", "zscore_mean")).join(metadata(spark, folder).select("sample_id", "tissue").where("tissue IS NOT NULL"), "sample_id")
+    return _consensus(spark, folder, ("mean", "zscore_mean"))
+
+
+@query()
+def all_method_consensus(spark, folder):
+    """The consensus of all scoring methods."""
+    return _consensus(spark, folder, scoring.METHODS)
+
+
+def _consensus(spark, folder, methods):
+    s = scoring.score_programs(cells(spark, folder), bridge(spark, folder), methods)
+    t = scoring.tidy_scores(s, methods).join(metadata(spark, folder).select("sample_id", "tissue").where("tissue IS NOT NULL"), "sample_id")
     n = s.select("sample_id", "program", "n_genes")
     per = t.join(n, ["sample_id", "program"]).groupBy("program", "method", F.col("tissue").alias("item")).agg((F.sum(F.col("score") * F.col("n_genes")) / F.sum("n_genes")).alias("score"))
     return show(summarize.consensus(summarize.top_k(per, ["program", "method"], [F.desc(F.round("score", 9)), F.col("item")], 10)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matrixloom.operators import classify
+from matrixloom.operators import classify, scoring
 from matrixloom.plans import core
 
 
@@ -19,3 +19,17 @@ def test_all_models_and_folds(spark, folder, monkeypatch):
     assert core.QUERIES["model_comparison"](spark, folder).count() == 4
     core.QUERIES["logreg_cv"](spark, folder)
     assert asked == [(sorted(classify.MODELS), [0, 1, 2, 3, 4]), (["logistic"], [0, 1, 2, 3, 4])]
+
+
+def test_overlaps_of_all_modules_of_a_set(spark, folder):
+    m = [(r.module_id, r.feature_set, set(r["items"])) for r in core.modules(spark, folder).collect() if r["items"]]
+    expect = {(f, a, b, len(x & y)): len(x & y) / len(x | y) for a, f, x in m for b, g, y in m if f is not None and f == g and a < b and x & y}
+    rows = core.QUERIES["module_overlap_within_sets"](spark, folder).collect()
+    got = {(r.feature_set, r.a, r.b, r.n): r.jaccard for r in rows}
+    assert len(rows) == len(expect) and got.keys() == expect.keys()
+    assert all(abs(got[k] - v) < 1e-5 for k, v in expect.items())
+
+
+def test_consensus_of_all_methods(spark, folder):
+    got = core.QUERIES["all_method_consensus"](spark, folder).collect()
+    assert {m for r in got for m in r.methods.split(", ")} == set(scoring.METHODS) and max(r.n_methods for r in got) == 5
