@@ -7,108 +7,138 @@ longest matches that don't overlap are marked first. Tiles may lie in any order,
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixloom.llm.lookalike import fold_text
 from matrixloom.operators.segments import run_starts, whole_runs
+from matrixloom.session import Scratch
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Characters of item texts whose vocabulary and seeds are sent to every task at a time.
-ITEM_CHARS = 32 << 20
+#: Bits of the filter of seeds that goes to every task: 16 per seed, but between these bounds (32 KB and 32 MB).
+FILTER_BITS = (1 << 18, 1 << 28)
+SLICE_BITS = 1 << 18
+#: Different tokens whose words a task remembers.
+REMEMBERED = 200_000
 
 
-def words_of(text: str | None) -> list[str]:
-    """Maximal runs of letters and digits, without regard to case and look-alike or invisible characters."""
-    return _WORD.findall(fold_text(text).casefold()) if text else []
+class TokenWords(dict):
+    """{token between blanks: its words}, each folded once; a token with nothing but ASCII needs no folding."""
+
+    def __missing__(self, token: str) -> tuple:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = out = tuple(self.of(w) for w in _WORD.findall((token if token.isascii() else fold_text(token)).casefold()))
+        return out
 
+    @staticmethod
+    def of(word: str):
+        return word
 
-def _values(n: int, which: int) -> np.ndarray:
-    """A fixed 64-bit number for each word id; id 0 is a word that no item has."""
-    return np.random.default_rng(20240601 + which).integers(1, 2**63, n + 1, np.uint64) | np.uint64(1)
 
+class TokenHashes(TokenWords):
+    """{token between blanks: the 64-bit numbers of its words}."""
 
-def rolling(ids: np.ndarray, values: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
-    """Karp-Rabin hashes, modulo 2^64, of all runs of ``k`` ids."""
-    n = len(ids) - k + 1
-    v = values[ids]
-    h = np.zeros(max(0, n), np.uint64)
+    @staticmethod
+    def of(word: str) -> int:
+        return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Maximal runs of letters and digits, without regard to case and look-alike or invisible characters."""
+    return list(itertools.chain.from_iterable(map(TokenWords().__getitem__, text.split()))) if text else []
+
+
+def rolling(words: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
+    """Karp-Rabin hashes, modulo 2^64, of all runs of ``k`` words given by their numbers."""
+    n = max(0, len(words) - k + 1)
+    h = np.zeros(n, np.uint64)
     for j in range(k):
-        h = h * base + v[j : j + n]
+        h = h * base + words[j : j + n]
     return h
 
 
-def _item_seeds(items: list[tuple], k: int) -> tuple[dict[str, int], list[tuple]]:
-    """({word: id}, [(item, position, hash, second hash)])."""
-    vocabulary: dict[str, int] = {}
-    texts = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)]) for i, t in items]
-    seeds = []
-    v = [_values(len(vocabulary), x) for x in (0, 1)]
-    for i, ids in texts:
-        a, b = (rolling(np.array(ids, np.int64), v[x], k, _BASE[x]).view(np.int64).tolist() if len(ids) >= k else [] for x in (0, 1))
-        seeds += [(i, p, x, y) for p, (x, y) in enumerate(zip(a, b))]
-    return vocabulary, seeds
+def _runs(kind: str, k: int, bits: Broadcast | None = None):
+    """A ``mapInArrow`` function: (key, position, two hashes) of the runs of k words that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenHashes()
+        passes = np.frombuffer(bits.value, np.uint8) if bits is not None else None
+        for b in batches:
+            rows, pos, first, second = [], [], [], []
+            for i, s in enumerate(b.column(1).to_pylist()):
+                words = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, s.split())), np.uint64)
+                if len(words) < k:
+                    continue
+                h = rolling(words, k, _BASE[0])
+                at = np.arange(len(h))
+                if passes is not None:
+                    bit = h & np.uint64(len(passes) * 8 - 1)
+                    at = np.flatnonzero(passes[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                if len(at):
+                    rows.append(np.full(len(at), i))
+                    pos.append(at)
+                    first.append(h[at])
+                    second.append(rolling(words, k, _BASE[1])[at])
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(pos).astype(np.int32)),
+                     pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64))],
+                    names=[kind, "pos", "h1", "h2"],
+                )
+
+    return run
+
+
+def _seed_filter(seeds: DataFrame) -> bytes:
+    """A bitset with the first hashes of the seeds, of bounded size whatever their number; the join decides what passes."""
+    n = seeds.count()
+    bits = min(max(FILTER_BITS[0], 1 << (16 * n).bit_length()), FILTER_BITS[1])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, "slice"):
+            t = t.combine_chunks()
+            number, bit = t.column("slice").to_numpy(), t.column("bit").to_numpy()
+            starts = run_starts(number)
+            out = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                flags = np.zeros(SLICE_BITS, bool)
+                flags[bit[a:b]] = True
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(number[starts[:-1]]), pa.array(out, pa.binary())], names=["slice", "bits"])
+
+    bit = F.col("h1").bitwiseAND(F.lit(bits - 1))
+    of = seeds.select(F.floor(bit / SLICE_BITS).cast("int").alias("slice"), F.pmod(bit, F.lit(SLICE_BITS)).cast("int").alias("bit")).distinct()
+    slices = of.repartition("slice").sortWithinPartitions("slice").mapInArrow(pack, "slice INT, bits BINARY").collect()
+    out = bytearray(bits // 8)
+    for r in slices:
+        out[r.slice * SLICE_BITS // 8 : (r.slice + 1) * SLICE_BITS // 8] = r.bits
+    return bytes(out)
 
 
 def shared_seeds(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, k: int) -> DataFrame:
     """(doc, item, pos, ipos) of every run of ``k`` words that a document and an item share.
 
-    The items go to the tasks in slices of at most ITEM_CHARS characters, so a test set of any size works.
+    The documents are read once, whatever the size of the test set: a filter of bounded size keeps the runs that
+    may be seeds, and a join on both hashes decides.
     """
     spark = docs.sparkSession
-    named = items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    size = named.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = 1 + size // ITEM_CHARS
     of, item_of = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    named = items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     texts = docs.select(F.col(f"`{doc_key}`").alias("doc"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    out = None
-    for part in range(slices):
-        one = named if slices == 1 else named.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == part)
-        vocabulary, seeds = _item_seeds([tuple(r) for r in one.collect()], k)
-        n = len(vocabulary)
-        hashes = np.unique(np.array([s[2] for s in seeds], np.int64).view(np.uint64))
-        sent = spark.sparkContext.broadcast((vocabulary, hashes))
-
-        def hits(batches: Iterator[pa.RecordBatch], sent=sent, n: int = n) -> Iterator[pa.RecordBatch]:
-            vocabulary, hashes = sent.value
-            get = vocabulary.get
-            v = [_values(n, x) for x in (0, 1)]
-            for b in batches:
-                keys, pos, first, second = [], [], [], []
-                for i, s in enumerate(b.column(1).to_pylist()):
-                    words = _WORD.findall(fold_text(s).casefold())
-                    if len(words) < k:
-                        continue
-                    ids = np.fromiter(map(get, words, [0] * len(words)), np.int64, len(words))
-                    unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-                    at = np.flatnonzero(unknown[k:] == unknown[:-k])
-                    if not len(at):
-                        continue
-                    h = rolling(ids, v[0], k, _BASE[0])[at]
-                    there = np.searchsorted(hashes, h)
-                    there[there == len(hashes)] = 0
-                    at = at[hashes[there] == h] if len(hashes) else at[:0]
-                    if len(at):
-                        keys += [i] * len(at)
-                        pos += at.tolist()
-                        first += rolling(ids, v[0], k, _BASE[0])[at].view(np.int64).tolist()
-                        second += rolling(ids, v[1], k, _BASE[1])[at].view(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(keys, pa.int64())), pa.array(pos, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["doc", "pos", "h1", "h2"]
-                )
-
-        found = texts.mapInArrow(hits, f"doc {of}, pos INT, h1 BIGINT, h2 BIGINT")
-        known = spark.createDataFrame(seeds, f"item {item_of}, ipos INT, h1 BIGINT, h2 BIGINT")
-        joined = found.join(known, ["h1", "h2"]).select("doc", "item", "pos", "ipos")
-        out = joined if out is None else out.unionByName(joined)
-    return out
+    seeds = Scratch(spark, "seeds").save(named.mapInArrow(_runs("item", k), f"item {item_of}, pos INT, h1 BIGINT, h2 BIGINT"))
+    found = texts.mapInArrow(_runs("doc", k, spark.sparkContext.broadcast(_seed_filter(seeds))), f"doc {of}, pos INT, h1 BIGINT, h2 BIGINT")
+    return found.join(seeds.withColumnRenamed("pos", "ipos"), ["h1", "h2"]).select("doc", "item", "pos", "ipos")
 
 
 def greedy_tiles(matches: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int]]:

@@ -74,11 +74,18 @@ def test_disguised_and_reordered_passages(spark):
     assert got[4].covered == 14 and not got[4].reordered and got[2].longest == 11
 
 
-def test_items_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(leak, "ITEM_CHARS", 30)
-    it = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(12))) for i in range(6)], "item_id INT, item_text STRING")
-    df = spark.createDataFrame([(i, "x " + " ".join(f"a{i}b{j}" for j in range(12))) for i in range(6)], "doc_id INT, text STRING")
-    assert sorted((r.doc, r.item) for r in leak.leaks(df, it).collect()) == [(i, i) for i in range(6)]
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    it = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(40))) for i in range(200)], "item_id INT, item_text STRING")
+    df = spark.createDataFrame([(i, "x " + " ".join(f"a{i}b{j}" for j in range(12)) + " y" * 500) for i in range(200)], "doc_id INT, text STRING")
+    monkeypatch.setattr(leak, "FILTER_BITS", (1 << 10, 1 << 10))
+    monkeypatch.setattr(leak, "SLICE_BITS", 1 << 8)
+    assert sorted((r.doc, r.item) for r in leak.leaks(df, it).collect()) == [(i, i) for i in range(200)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.characters(codec="utf-8", exclude_categories=("Cs",)), max_size=40))
+def test_words_by_token_are_the_words_of_the_text(s):
+    assert leak.words_of(s) == re.findall(r"[^\W_]+", lookalike.fold_text(s).casefold())
 
 
 # look-alikes ------------------------------------------------------------------------------------------------
