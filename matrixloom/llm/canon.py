@@ -3,7 +3,7 @@
 The tree holds the reference spellings under the unrestricted Damerau-Levenshtein distance, a true metric
 (insert, delete, replace and swap of neighbours cost 1 each), so the triangle inequality prunes and a search
 returns every entry within the threshold. A small reference list goes to every task; a larger one is split
-into shards, each value is asked of all shards, and the shards' winners are merged.
+into shards, each value is asked of all shards, and the shards' winners are merged to what one tree would answer.
 """
 
 from __future__ import annotations
@@ -18,10 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Reference spellings that are sent to every task at most; more are sharded.
-MAX_BROADCAST = 50_000
-#: Longer values are compared by these many words from either end only where no entry is longer.
-MAX_WORDS = 8
+from matrixloom.session import Scratch
+
+#: Reference entries, and characters of them, that are sent to every task at most; more are sharded.
+MAX_BROADCAST, MAX_CHARS = 50_000, 8 << 20
+#: Words of which every order is tried; more are tried in their own and in alphabetical order.
+ANY_ORDER = 3
+#: Values that may be split over several tasks at most, each a share of the records greater than one in as many.
+HOT_VALUES = 10_000
+#: Records with one value from which they are split.
+SPLIT_ROWS = 1_000_000
 # Fixed value: what a value pays for each word that belongs to no entry.
 DROPPED_WORD = 0.5
 
@@ -97,133 +103,161 @@ def radius_of(length: int, whole: bool) -> int:
 
 
 class Reference:
-    """The entries of one field: every spelling (canonical name and aliases) leads to its entry."""
+    """The entries of one field: every spelling (canonical name and aliases) leads to its entry.
+
+    ``max_words`` is the number of words of the longest spelling in the whole list, of which this may be a shard.
+    """
 
-    def __init__(self, entries: list[tuple[int, str, str | None]]) -> None:
+    def __init__(self, entries: list[tuple[int, str, str | None]], max_words: int = 1) -> None:
         self.entry: dict[str, int] = {}
-        self.first_words: dict[str, set[str]] = defaultdict(set)
-        self.max_words = 1
-        for term, name, aliases in sorted(entries):
-            for spelling in [name, *re.split(r"\s*;\s*", aliases or "")]:
-                words, _ = words_of(spelling or "")
+        self.in_order: dict[str, int] = {}
+        self.begun: dict[tuple[int, int, str], set[tuple[str, ...]]] = defaultdict(set)
+        self.max_words = max_words
+        for term, name, aliases in sorted(entries, key=lambda e: (e[0], e[1], e[2] or "")):
+            for spelling in spellings(name, aliases):
+                words, _ = words_of(spelling)
                 if words:
                     self.entry.setdefault("".join(words), term)
                     self.max_words = max(self.max_words, len(words))
-                    for w in words:
+                    if len(words) > ANY_ORDER:
+                        self.in_order.setdefault("".join(sorted(words)), term)
+                    for i, w in enumerate(words):
                         for n in range(2, len(w)):
-                            self.first_words[w[:n]].add(w)
-        self.tree = BKTree(self.entry)
+                            self.begun[len(words), i, w[:n]].add(tuple(words))
+        self.trees = {False: BKTree(self.entry), True: BKTree(self.in_order)}
+        self.lengths = {d: (min(map(len, keys)), max(map(len, keys))) for d, keys in ((False, self.entry), (True, self.in_order)) if keys}
         self.sizes = sorted({len(k) for k in self.entry if len(k) >= 5}, reverse=True)
-        self.known: dict[tuple[str, int], list[tuple[int, str]]] = {}
+        self.known: dict[tuple[str, int, bool], list[tuple[int, str]]] = {}
 
-    def within(self, key: str, radius: int) -> list[tuple[int, str]]:
+    def within(self, key: str, radius: int, in_order: bool = False) -> list[tuple[int, str]]:
         """The tree's answer, kept for keys that come again."""
-        at = key, radius
+        least, most = self.lengths.get(in_order, (1, 0))
+        if not least - radius <= len(key) <= most + radius:
+            return []
+        at = key, radius, in_order
         if at not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[at] = self.tree.within(key, radius)
+            self.known[at] = self.trees[in_order].within(key, radius)
         return self.known[at]
 
-    def best(self, value: str) -> tuple[float, int] | None:
-        """(cost, term) of the entry that is meant, the cheapest and then the smallest term; None if there is none.
+    def spelled_out(self, part: list[str], short: list[bool]) -> Iterator[tuple[int, str]]:
+        """(distance, entry) of the entries of as many words, of which those cut short are begun and the others are off by one edit at most."""
+        for words in self.begun.get((len(part), short.index(True), part[short.index(True)]), ()):
+            if all(w.startswith(p) and len(w) > len(p) for p, w, s in zip(part, words, short) if s):
+                d = sum(damerau(p, w, 1) for p, w, s in zip(part, words, short) if not s)
+                if d <= 1:
+                    yield d, "".join(words)
 
-        The value's words count as a whole or as any run of neighbouring words, in any order, with words cut
-        short by a full stop spelled out where an entry has such a word.
+    def best(self, value: str) -> tuple[bool, float, int] | None:
+        """(written on, cost, term) of the entry that is meant, the cheapest and then the smallest term; None if there is none.
+
+        The value's words count as a whole or as any run of neighbouring words, runs of up to three in any order,
+        with words cut short by a full stop spelled out where an entry has such a word. An entry with something
+        written on counts only where no other is found.
         """
         words, short = words_of(value)
-        found: tuple[float, int] | None = None
+        found: tuple[float, int] = (9e9, 0)
         most = min(len(words), max(self.max_words + 1, 2))
-        starts = range(len(words)) if len(words) <= MAX_WORDS else [*range(MAX_WORDS), *range(len(words) - MAX_WORDS, len(words))]
-        spans = {(a, n) for n in range(1, most + 1) for a in starts if a + n <= len(words)}
-        spans |= {(0, len(words))} if len(words) <= MAX_WORDS else set()
+        spans = {(a, n) for n in range(1, most + 1) for a in range(len(words) - n + 1)} | ({(0, len(words))} if words else set())
         for a, n in sorted(spans, key=lambda x: -x[1]):
             dropped = len(words) - n
-            if found and found[0] <= DROPPED_WORD * dropped:
+            if found[0] < DROPPED_WORD * dropped:
                 continue
             part = words[a : a + n]
             if sum(map(len, part)) < 3 and not dropped == 0 or sum(map(len, part)) < 2:
                 continue
             whole = dropped == 0
-            for order in itertools.permutations(part) if n <= 3 else [tuple(part)]:
+            for order in itertools.permutations(part) if n <= ANY_ORDER else [tuple(part)]:
                 key = "".join(order)
                 moved = 0.1 * (order != tuple(part))
                 for d, w in self.within(key, radius_of(len(key), whole)):
                     if d < len(key) - 1:
-                        found = min(found or (9e9, 0), (d + DROPPED_WORD * dropped + moved, self.entry[w]))
+                        found = min(found, (d + DROPPED_WORD * dropped + moved, self.entry[w]))
+            if n > ANY_ORDER:
+                key = "".join(sorted(part))
+                for d, w in self.within(key, radius_of(len(key), whole), True):
+                    found = min(found, (d + DROPPED_WORD * dropped + 0.1, self.in_order[w]))
             if any(short[a : a + n]) and n > 1:
-                ways = [sorted(self.first_words.get(w, ()))[:16] if s else [w] for w, s in zip(part, short[a : a + n])]
-                if all(ways):
-                    for spelled in itertools.islice(itertools.product(*ways), 256):
-                        key = "".join(spelled)
-                        for d, w in self.within(key, 1):
-                            found = min(found or (9e9, 0), (d + 0.25 + DROPPED_WORD * dropped, self.entry[w]))
-        if found is None:  # an addition written on to the entry
-            key = "".join(words)
-            for n in self.sizes:
-                if n < len(key):
-                    for part in (key[:n], key[-n:]):
-                        if part in self.entry:
-                            found = min(found or (9e9, 0), (2.0, self.entry[part]))
-        return found
+                for d, w in self.spelled_out(part, short[a : a + n]):
+                    found = min(found, (d + 0.25 + DROPPED_WORD * dropped, self.entry[w]))
+        if found[0] < 9e9:
+            return (False, *found)
+        key = "".join(words)
+        on = [self.entry[part] for n in self.sizes if n < len(key) for part in (key[:n], key[-n:]) if part in self.entry]
+        return (True, 2.0, min(on)) if on else None
+
 
+def spellings(name: str, aliases: str | None) -> list[str]:
+    """The canonical name and the aliases of an entry."""
+    return [name or "", *re.split(r"\s*;\s*", aliases or "")]
 
-def _answers(asked: list[tuple[str, str]], refs: dict[str, Reference]) -> list[tuple[str, str, float, int]]:
+
+def _answers(asked: list[tuple[str, str]], refs: dict[str, Reference]) -> pa.RecordBatch:
     out = []
     for field, value in asked:
         best = refs[field].best(value) if field in refs else None
         if best:
             out.append((field, value, *best))
-    return out
+    cols = list(zip(*out)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int64()))], names=["field_name", "value", "written_on", "cost", "term_id"])
 
 
-def _references(rows: Iterable[tuple[str, int, str, str | None]]) -> dict[str, Reference]:
+def _references(rows: Iterable[tuple[str, int, str, str | None]], max_words: int) -> dict[str, Reference]:
     by_field = defaultdict(list)
     for field, term, name, aliases in rows:
-        if field is not None and name is not None:
-            by_field[field].append((term, name, aliases))
-    return {f: Reference(e) for f, e in by_field.items()}
+        by_field[field].append((term, name, aliases))
+    return {f: Reference(e, max_words) for f, e in by_field.items()}
+
+
+def _size(known: DataFrame) -> tuple[int, int, int]:
+    """Entries, their characters, and the words of the longest spelling."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            words = [max(len(words_of(s)[0]) for s in spellings(*r)) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([len(n) + len(a or "") for n, a in rows], pa.int64()), pa.array(words, pa.int32())], names=["chars", "words"])
+
+    n, chars, words = known.select("canonical_name", "known_aliases").mapInArrow(measured, "chars BIGINT, words INT").agg(F.count("*"), F.sum("chars"), F.max("words")).first()
+    return n, chars or 0, words or 1
 
 
 def match_values(values: DataFrame, terms: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(field_name, value, cost, term_id) of the distinct ``values`` (field_name, value) that an entry of the field is meant by.
 
     ``terms``: term_id, field_name, canonical_name, known_aliases (joined by ``;``). Values that stand for no
-    entry, such as blank ones, have no row. Terms with a null field or name are not asked.
+    entry, such as blank ones, have no row. Terms with a null id, field or name are not asked. The answers are
+    the same however many shards there are.
     """
-    schema = "field_name STRING, value STRING, cost DOUBLE, term_id BIGINT"
+    schema = "field_name STRING, value STRING, written_on BOOLEAN, cost DOUBLE, term_id BIGINT"
     asked = values.select("field_name", "value").where("field_name IS NOT NULL AND value IS NOT NULL")
     known = terms.select("field_name", F.col("term_id").cast("bigint").alias("term_id"), "canonical_name", "known_aliases")
-    n = known.count()
-
-    def arrow(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["field_name", "value", "cost", "term_id"])
+    known = known.where("field_name IS NOT NULL AND term_id IS NOT NULL AND canonical_name IS NOT NULL")
+    n, chars, max_words = _size(known)
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    if n <= max_broadcast:
+    if n <= max_broadcast and chars <= MAX_CHARS:
         rows = [tuple(r) for r in known.collect()]
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            refs = _references(rows)
+            refs = _references(rows, max_words)
             for b in batches:
-                yield arrow(_answers(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), refs))
+                yield _answers(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), refs)
 
-        return asked.repartition("field_name", "value").mapInArrow(ask, schema)
+        return asked.repartition(tasks, "field_name", "value").mapInArrow(ask, schema).select("field_name", "value", "cost", "term_id")
 
-    shards = -(-n // max_broadcast)
-    salts = 4 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(-(-n // max_broadcast), -(-chars // MAX_CHARS))
     one = known.select(F.pmod(F.xxhash64("canonical_name"), F.lit(shards)).cast("int").alias("shard"), "field_name", "term_id", "canonical_name", "known_aliases")
-    sharded = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = asked.withColumn("salt", F.pmod(F.xxhash64("field_name", "value"), F.lit(salts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1).cast("int"))))
+    sharded = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    spread = asked.withColumn("salt", F.pmod(F.xxhash64("field_name", "value"), F.lit(tasks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1).cast("int"))))
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([arrow([])])
-        refs = _references(zip(*(right.column(c).to_pylist() for c in ("field_name", "term_id", "canonical_name", "known_aliases"))))
-        return pa.Table.from_batches([arrow(_answers(list(zip(left.column("field_name").to_pylist(), left.column("value").to_pylist())), refs))])
+        refs = _references(zip(*(right.column(c).to_pylist() for c in ("field_name", "term_id", "canonical_name", "known_aliases"))), max_words)
+        return pa.Table.from_batches([_answers(list(zip(left.column("field_name").to_pylist(), left.column("value").to_pylist())), refs)])
 
     won = spread.groupBy("shard", "salt").cogroup(sharded.groupBy("shard", "salt")).applyInArrow(shard, schema)
-    best = won.groupBy("field_name", "value").agg(F.min(F.struct("cost", "term_id")).alias("b"))
+    best = won.groupBy("field_name", "value").agg(F.min(F.struct("written_on", "cost", "term_id")).alias("b"))
     return best.select("field_name", "value", "b.cost", "b.term_id")
 
 
@@ -241,7 +275,16 @@ def canonical_entries(records: DataFrame, key: str, fields: list[str], terms: Da
     ).select("key", "e.field_name", "e.value").where("value IS NOT NULL")
     names = terms.select("field_name", F.col("canonical_name").alias("value")).distinct()
     free = one.join(names, ["field_name", "value"], "left_anti").groupBy("key", "field_name").agg(F.max("value").alias("value"))
-    matched = match_values(free.select("field_name", "value").distinct(), terms, max_broadcast)
-    return free.join(matched, ["field_name", "value"], "left").select(
+    scratch = Scratch(records.sparkSession, "entries")
+    free = scratch.save(free)
+    per = scratch.save(free.groupBy("field_name", "value").agg(F.count("*").alias("n")))
+    # a value of many records is split; those that are number HOT_VALUES at most, whatever the table
+    share = max(SPLIT_ROWS, (per.agg(F.sum("n")).first()[0] or 0) // HOT_VALUES)
+    hot = per.where(F.col("n") > share).select(F.xxhash64("field_name", "value").alias("h"), F.ceil(F.col("n") / F.lit(share)).cast("int").alias("salts"))
+    matched = match_values(per, terms, max_broadcast).withColumn("h", F.xxhash64("field_name", "value")).join(F.broadcast(hot), "h", "left")
+    matched = matched.select("field_name", "value", "term_id", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    salted = free.withColumn("h", F.xxhash64("field_name", "value")).join(F.broadcast(hot), "h", "left")
+    salted = salted.select(F.col("key"), "field_name", "value", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    return salted.join(matched, ["field_name", "value", "salt"], "left").select(
         "key", "field_name", "value", F.coalesce("term_id", F.lit(-1)).cast("bigint").alias("term_id")
     )
