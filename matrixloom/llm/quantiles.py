@@ -3,7 +3,7 @@
 The values of a group lie in blocks of bounded size (a large group has many, so no task holds one whole).
 In every round each block proposes the median of its values that are still in question, the weighted median
 of the proposals becomes the group's pivot, the blocks count below, equal and above it, and the ranges that
-are ruled out are discarded, until the wanted rank is found. Only pivots and counts move between rounds.
+are ruled out are discarded: the next round reads only what is still in question, until the wanted rank is found.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from matrixloom.session import Scratch
 
 #: Rows of a group in a block, about; a group with more is spread over several blocks and tasks.
 BLOCK = 256
+#: Proposals that meet in one row; those of more blocks are combined level by level.
+FAN_IN = 1024
 
 
 def value_blocks(df: DataFrame, keys: list[str], values: dict[str, str], row_id: Column, scratch: Scratch, block: int = BLOCK) -> DataFrame:
@@ -60,17 +62,18 @@ def _bisect(flat: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, rig
         hi = np.where(open_ & ~below, mid, hi)
 
 
-_COUNTS = "grp {0}, k INT, below BIGINT, equal BIGINT, low_n BIGINT, low_med DOUBLE, high_n BIGINT, high_med DOUBLE, next_v DOUBLE"
+_COUNTS = "grp {0}, salt INT, k INT, below BIGINT, equal BIGINT, low_n BIGINT, low_med DOUBLE, high_n BIGINT, high_med DOUBLE, next_v DOUBLE, values ARRAY<DOUBLE>"
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three-way counts of the pivot in each block, and the block's proposal for either side.
+    """Three-way counts of the pivot in each block, the block's proposal for either side, and what of the block is in question.
 
-    Columns in: grp, values, asks (array of k, lo, hi, pivot). Values in question lie strictly between lo
-    and hi; a null bound is none. The first round has no pivot: it proposes over all values.
+    Columns in: grp, salt, values, asks (array of k, lo, hi, pivot). Values in question lie strictly between lo
+    and hi; a null bound is none. The first round has no pivot: it proposes over all values. The values that
+    some k still asks for are in the row of the block's first k.
     """
     for b in batches:
-        values, asks = b.column(1), b.column(2)
+        values, asks = b.column(2), b.column(3)
         flat = values.flatten().to_numpy(zero_copy_only=False)
         if not len(flat):
             continue
@@ -84,26 +87,32 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         first, last = begins[row], ends[row]
         start = np.where(np.isinf(lo_v), first, _bisect(flat, first, last, lo_v, True))
         stop = np.where(np.isinf(hi_v), last, _bisect(flat, first, last, hi_v, False))
+        stop = np.maximum(start, stop)
         fresh = np.isnan(pivot)
         p = np.where(fresh, np.inf, pivot)
         less = np.where(fresh, stop, _bisect(flat, first, last, p, False))
-        upto = np.where(fresh, stop, _bisect(flat, first, last, p, True))
-        less, upto = np.clip(less, start, stop), np.clip(upto, start, stop)
+        ahead = np.where(fresh, last, _bisect(flat, first, last, p, True))
+        less, upto = np.clip(less, start, stop), np.clip(np.where(fresh, stop, ahead), start, stop)
 
         def middle(a: np.ndarray, z: np.ndarray) -> pa.Array:
             return pa.array(flat[np.where(a < z, (a + z - 1) // 2, 0)], mask=a >= z)
 
-        ahead = np.where(fresh, last, _bisect(flat, first, last, p, True))
+        one = np.flatnonzero(np.diff(row, prepend=-1))
+        left, right = np.minimum.reduceat(start, one), np.maximum.reduceat(stop, one)
+        n = np.zeros(len(row), np.int64)
+        n[one] = right - left
+        at = np.repeat(left - np.concatenate(([0], np.cumsum(right - left)[:-1])), right - left) + np.arange(int((right - left).sum()))
+        kept = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat[at]))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(less - start), pa.array(upto - less),
+            [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(less - start), pa.array(upto - less),
              pa.array(less - start), middle(start, less), pa.array(stop - upto), middle(upto, stop),
-             pa.array(flat[np.where(ahead < last, ahead, 0)], mask=ahead >= last)],
-            names=["grp", "k", "below", "equal", "low_n", "low_med", "high_n", "high_med", "next_v"],
+             pa.array(flat[np.where(ahead < last, ahead, 0)], mask=ahead >= last), kept],
+            names=["grp", "salt", "k", "below", "equal", "low_n", "low_med", "high_n", "high_med", "next_v", "values"],
         )
 
 
 def _weighted_median(n: str, med: str) -> Column:
-    """The weighted median of the blocks' proposals: the first at which half of the weight is reached."""
+    """The weighted median of at most FAN_IN proposals: the first at which half of the weight is reached."""
     pairs = F.sort_array(F.collect_list(F.when(F.col(med).isNotNull(), F.struct(F.col(med).alias("m"), F.col(n).alias("w")))))
     half = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + x["w"])
     walk = F.aggregate(
@@ -113,6 +122,27 @@ def _weighted_median(n: str, med: str) -> Column:
     return walk["m"]
 
 
+def _pooled(counted: DataFrame, most_salts: int, fan_in: int) -> DataFrame:
+    """(grp, k, below, equal, low, high, next_v): the blocks' counts and proposals, combined ``fan_in`` at a time.
+
+    The median of medians of several levels is no exact median, but an eighth of the values in question, or more
+    by level, lies on either side of it.
+    """
+    level = counted
+    while most_salts > fan_in:
+        most_salts = -(-most_salts // fan_in)
+        level = level.groupBy("grp", "k", F.floor(F.col("salt") / F.lit(fan_in)).cast("int").alias("salt")).agg(*_combined()).withColumnsRenamed(_NAMES | {"low": "low_med", "high": "high_med"})
+    return level.groupBy("grp", "k").agg(*_combined()).withColumnsRenamed(_NAMES)
+
+
+_NAMES = {f"{c}_": c for c in ("below", "equal", "low_n", "high_n", "next_v")}
+
+
+def _combined() -> list[Column]:
+    sums = [F.sum(c).alias(f"{c}_") for c in ("below", "equal", "low_n", "high_n")]
+    return [*sums, _weighted_median("low_n", "low_med").alias("low"), _weighted_median("high_n", "high_med").alias("high"), F.min("next_v").alias("next_v_")]
+
+
 def _rounds_in_task(probabilities: list[float]):
     """Groups of one block: the same rounds, in which the block's own median is the pivot."""
 
@@ -145,12 +175,12 @@ def _rounds_in_task(probabilities: list[float]):
     return run
 
 
-def multi_select(blocks: DataFrame, probabilities: list[float], scratch: Scratch, max_rounds: int = 200) -> DataFrame:
+def multi_select(blocks: DataFrame, probabilities: list[float], scratch: Scratch, max_rounds: int = 200, fan_in: int = FAN_IN) -> DataFrame:
     """(grp, k, n, value): for each group and probability ``k`` the percentile, linearly interpolated.
 
     ``blocks`` come from :func:`value_blocks`. Exact: rank h = (n - 1) p, its lower neighbour is selected and
     the next greater value found beside it. Groups without values have no row. Ties are counted as equals,
-    so a group of one repeated value ends in the first round.
+    so a group of one repeated value ends in the first round. A search that doesn't end in ``max_rounds`` is an error.
     """
     of = blocks.schema["grp"].dataType.simpleString()
     one = blocks.where("salts = 1").select("grp", "values").mapInArrow(_rounds_in_task(probabilities), f"grp {of}, k INT, n BIGINT, value DOUBLE")
@@ -163,38 +193,44 @@ def multi_select(blocks: DataFrame, probabilities: list[float], scratch: Scratch
         F.lit(None).cast("double").alias("found"), F.lit(None).cast("double").alias("above"),
     )
     state = scratch.save(state)
-    done = []
+    most_salts = state.agg(F.max("salts")).first()[0]
+    if most_salts is None:
+        return one
+    done, left, previous = [], blocks.select("grp", "salt", "values"), None
+    spot = F.pmod(F.col("salt"), F.lit(fan_in))  # a group's blocks meet its pivots in as many places
     for _ in range(max_rounds):
         asks = (
             state.groupBy("grp").agg(F.max("salts").alias("salts"), F.collect_list(F.struct("k", "lo", "hi", "pivot")).alias("asks"))
-            .select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "asks")
-        )
-        counted = blocks.join(asks, ["grp", "salt"]).select("grp", "values", "asks").mapInArrow(_count_blocks, _COUNTS.format(of))
-        counts = counted.groupBy("grp", "k").agg(
-            F.sum("below").alias("below"), F.sum("equal").alias("equal"), _weighted_median("low_n", "low_med").alias("low"),
-            _weighted_median("high_n", "high_med").alias("high"), F.min("next_v").alias("next_v"),
+            .select("grp", F.explode(F.sequence(F.lit(0), F.least(F.col("salts"), F.lit(fan_in)) - 1)).alias("spot"), "asks")
         )
+        counted = scratch.save(left.withColumn("spot", spot).join(asks, ["grp", "spot"]).select("grp", "salt", "values", "asks").mapInArrow(_count_blocks, _COUNTS.format(of)))
+        counts = _pooled(counted.drop("values"), most_salts, fan_in)
+        left = counted.where(F.size("values") > 0).select("grp", "salt", "values")
         rank = F.floor(F.col("h")).cast("bigint")
         s = state.join(counts, ["grp", "k"])
-        start, left = F.col("pivot").isNull(), rank < F.col("before") + F.col("below")
-        hit = ~start & ~left & (rank < F.col("before") + F.col("below") + F.col("equal"))
-        # the value after the hit is the same one while equals remain, else the smallest greater one
+        start, lower = F.col("pivot").isNull(), rank < F.col("before") + F.col("below")
+        hit = ~start & ~lower & (rank < F.col("before") + F.col("below") + F.col("equal"))
+        # the value after the hit is the same one while equals remain, else the smallest greater one, which may be the upper bound
         more = rank + 1 < F.col("before") + F.col("below") + F.col("equal")
         moved = s.select(
             "grp", "n", "salts", "k", "h",
-            F.when(start | left | hit, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
-            F.when(~start & left, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-            F.when(start | left, F.col("low")).otherwise(F.col("high")).alias("pivot"),
-            F.when(start | left | hit, F.col("before")).otherwise(F.col("before") + F.col("below") + F.col("equal")).alias("before"),
+            F.when(start | lower | hit, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
+            F.when(~start & lower, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
+            F.when(start | lower, F.col("low")).otherwise(F.col("high")).alias("pivot"),
+            F.when(start | lower | hit, F.col("before")).otherwise(F.col("before") + F.col("below") + F.col("equal")).alias("before"),
             F.when(hit, F.col("pivot")).alias("found"),
-            F.when(hit, F.when(more, F.col("pivot")).otherwise(F.coalesce("next_v", "pivot"))).alias("above"),
+            F.when(hit, F.when(more, F.col("pivot")).otherwise(F.coalesce(F.least("next_v", "hi"), "pivot"))).alias("above"),
         )
         moved = scratch.save(moved)
         scratch.drop(state)
+        scratch.drop(previous)
+        previous = counted
         done.append(moved.where("found IS NOT NULL"))
         state = moved.where("found IS NULL")
         if state.isEmpty():
             break
+    else:
+        raise RuntimeError(f"percentiles are still open after {max_rounds} rounds")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -218,7 +254,8 @@ def grid_summary(df: DataFrame, keys: list[str], value: str, width: float = 0.01
     """(keys, cell, n): how many values of each group lie in each cell of a fixed grid.
 
     A summary that merges: those of other partitions, days or releases are added up cell by cell. A percentile
-    read from it is off by at most half a ``width``, whatever the number of values.
+    read from it is off by at most half a ``width``, whatever the number of values. It is meant for values of a
+    known scale: a group has as many cells as its range has widths, and beyond 2^53 widths from 0 cells are no longer exact.
     """
     v = F.col(value).cast("double")
     return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, F.floor(v / F.lit(width)).alias("cell")).agg(F.count("*").alias("n"))
