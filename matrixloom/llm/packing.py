@@ -45,23 +45,26 @@ class OpenBins:
         self.bits, self.open = 0, 0
         self.by_free: dict[int, list] = defaultdict(list)
 
-    def _take(self, free: int):
+    def _take(self, free: int, oldest: bool = False):
         bins = self.by_free[free]
-        b = bins.pop()
+        b = bins.pop(bins.index(min(bins)) if oldest else -1)
         if not bins:
             self.bits &= ~(1 << free)
         self.open -= 1
         return b
 
     def put(self, size: int, new):
-        """The bin for an item: the best fit, or ``new()`` after the fullest has closed. 0 < size <= capacity."""
+        """The bin for an item: the best fit, or ``new()`` after the fullest has closed. 0 < size <= capacity.
+
+        Of equally full ones the latest used takes the item, and the one with the smallest number closes.
+        """
         fits = self.bits >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
             b = self._take(free)
         else:
             if self.open >= self.limit:
-                self._take((self.bits & -self.bits).bit_length() - 1)
+                self._take((self.bits & -self.bits).bit_length() - 1, oldest=True)
             free, b = self.capacity, new()
         if free > size:
             left = free - size
@@ -124,31 +127,44 @@ def pack(
 
 
 def _merge(left: DataFrame, scratch: Scratch, capacity: int, open_bins: int, fan_in: int) -> DataFrame:
-    """(bin, into): the open bins of all partitions, packed into one another level by level."""
-    level = scratch.save(left.select("bin", F.col("bin").alias("into"), F.col("n_tokens").alias("filled"), F.col("part").alias("grp")))
-    groups = (level.agg(F.max("grp")).first()[0] or 0) + 1
+    """(bin, into): the open bins of all partitions, packed into one another level by level.
+
+    A task of a level gets what ``fan_in`` tasks of the level below left open and leaves at most ``open_bins`` open
+    itself, so no task, the last one included, holds more than their product.
+    """
+    into = scratch.save(left.select("bin", F.col("bin").alias("into"), F.col("n_tokens").alias("filled"), F.col("part").alias("grp")))
+    groups = (into.agg(F.max("grp")).first()[0] or 0) + 1
+    still_open, into = into.select("into", "filled", "grp"), into.select("bin", "into")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, group, to, rows = OpenBins(capacity, open_bins * fan_in), None, {}, []
+        bins, group, to, rows = OpenBins(capacity, open_bins), None, {}, []
+
+        def over() -> pa.RecordBatch:
+            left_open = {b for b, _ in bins.left()}
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.int64()), pa.array([to[t] for _, t in rows], pa.int32()),
+                 pa.array([t in left_open for _, t in rows], pa.bool_()), pa.array([group] * len(rows), pa.int32())],
+                names=["old", "into", "filled", "open", "grp"],
+            )
+
         for b in batches:
-            for g, into, filled in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for g, x, filled in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if g != group:
-                    bins, group = OpenBins(capacity, open_bins * fan_in), g
-                target = bins.put(filled, lambda into=into: into)
-                rows.append((into, target, g))
+                    if rows:
+                        yield over()
+                    bins, group, to, rows = OpenBins(capacity, open_bins), g, {}, []
+                target = bins.put(filled, lambda x=x: x)
+                rows.append((x, target))
                 to[target] = to.get(target, 0) + filled
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([to[r[1]] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())],
-            names=["old", "into", "filled", "grp"],
-        )
+        if rows:
+            yield over()
 
     while True:
-        grouped = level.groupBy("into").agg(F.max("filled").alias("filled"), F.floor(F.max("grp") / fan_in).cast("int").alias("grp"))
-        merged = scratch.save(
-            grouped.select("grp", "into", "filled").repartition("grp").sortWithinPartitions("grp", F.desc("filled"), "into")
-            .mapInArrow(once, "old BIGINT, into BIGINT, filled INT, grp INT")
-        )
-        level = scratch.save(level.select("bin", F.col("into").alias("old")).join(merged, "old").select("bin", "into", "filled", "grp"))
+        one = still_open.select(F.floor(F.col("grp") / fan_in).cast("int").alias("grp"), "into", "filled").repartition("grp").sortWithinPartitions("grp", F.desc("filled"), "into")
+        merged = scratch.save(one.mapInArrow(once, "old BIGINT, into BIGINT, filled INT, open BOOLEAN, grp INT"))
+        moved = merged.where("old <> into").select(F.col("old").alias("into"), F.col("into").alias("to"))
+        into = scratch.save(into.join(moved, "into", "left").select("bin", F.coalesce("to", "into").alias("into")))
+        still_open = merged.where("open AND old = into").select("into", "filled", "grp")
         groups = -(-groups // fan_in)
         if groups <= 1:
-            return level.select("bin", "into")
+            return into
