@@ -9,6 +9,7 @@ most frequent is canonical. Tokens that reach no word are normalised by table.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -16,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrixloom.operators.segments import run_starts, whole_runs
@@ -84,16 +86,6 @@ def _special() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _tables()[1]) + "]")
 
 
-def java_special_class() -> str:
-    """The same class for a Java regular expression; plain ASCII fails at the look-ahead already."""
-    return r"[\t\x0b\x0c]|(?=[^\x00-\x7f])[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _tables()[1]) + "]"
-
-
-def suspect(text: Column) -> Column:
-    """Whether a text has any character that may read like another; null where the text is null."""
-    return text.rlike(java_special_class())
-
-
 def fold_text(text: str) -> str:
     """The reading of a text by table alone: equal for texts that a reader cannot tell apart.
 
@@ -122,7 +114,12 @@ class VocabularyTrie:
         node[""] = (word, n)
 
     def search(self, token: str, max_cost: int = 0) -> str | None:
-        """The cheapest, then most frequent, then smallest word within ``max_cost`` edits that do show.
+        """The word of :meth:`best`, or None."""
+        found = self.best(token, max_cost)
+        return found[2] if found else None
+
+    def best(self, token: str, max_cost: int = 0) -> tuple[int, int, str] | None:
+        """(cost, -count, word): the cheapest, then most frequent, then smallest word within ``max_cost`` edits that do show.
 
         Moving to a look-alike, through a joined form or over an invisible character is free; another
         character, one too many or one too few costs 1 each.
@@ -167,53 +164,98 @@ class VocabularyTrie:
             if not states:
                 return None
         found = [(cost, -node[""][1], node[""][0]) for node, cost in states.values() if "" in node]
-        return min(found)[2] if found else None
+        return min(found) if found else None
+
 
+def meeting_keys(word: str, max_cost: int) -> list[int]:
+    """Numbers of the word's reading with up to ``max_cost`` characters left out, at any place.
 
-def _shard(reading: str) -> str:
-    """The trie a token belongs to: length and first three characters of its reading."""
-    return f"{len(reading)} {reading[:3]}"
+    Two words within ``max_cost`` edits that show have one of them in common, wherever the edits are.
+    """
+    readings = {unicodedata.normalize("NFD", fold_text(word))}
+    level = readings
+    for _ in range(max_cost):
+        level = {r[:i] + r[i + 1 :] for r in level for i in range(len(r))}
+        readings = readings | level
+    return [int.from_bytes(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for r in sorted(readings)]
 
 
-#: A task sends its word counts on when it holds this many different words.
+#: A task sends its word counts on when it holds this many different tokens.
 WORDS_HELD = 300_000
+#: Keys of a trie, about, and parts into which the documents of one word are spread.
+TRIE_KEYS, SPREAD = 2000, 16
 _WORD = re.compile(r"\w(?:.*\w)?", re.S)
+#: White space that reads like another one.
+_BLANKS = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def corpus_words(docs: DataFrame, text: str) -> DataFrame:
-    """(shard, word, n, suspect) of all words of all texts, counted within each task first.
+class _Suspects(dict):
+    """{token that isn't ASCII: its word if it has suspect characters, "" if all of it is punctuation, else None}."""
 
-    A word is a token between blanks without the punctuation around it; invisible characters are part of it.
+    def __missing__(self, token: str) -> str | None:
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        self[token] = out = "".join(_token_words(token)) if _special().search(token) else None
+        return out
+
+
+def scanned(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """One pass over the texts: (row, key, written, text, words) of every document, ``row`` a number of its own, and (word, n, suspect) of the corpus.
+
+    ``written`` is a digest of the text; ``text`` and its suspect ``words`` are there only where some character may
+    read like another. A word is a token between blanks without the punctuation around it; invisible characters
+    are part of it. Words are counted within each task first. Null texts are left out.
     """
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        suspects, key_type = _Suspects(), None
 
         def flush() -> pa.RecordBatch:
             words: Counter = Counter()
             for token, n in seen.items():
-                if token.isascii():
-                    if m := _WORD.search(token):
-                        words[m[0]] += n
-                else:
-                    for word in _token_words(token):
-                        words[word] += n
+                word = None if token.isascii() else suspects[token]
+                if word is None and (m := _WORD.search(token)):
+                    words[m[0], False] += n
+                elif word:
+                    words[word, True] += n
             seen.clear()
-            rows = [(w, n, not w.isascii() and bool(_special().search(w))) for w, n in words.items()]
+            m = len(words)
             return pa.RecordBatch.from_arrays(
-                [pa.array([_shard(fold_text(w) if s else w) for w, _, s in rows], pa.string()), pa.array([r[0] for r in rows], pa.string()),
-                 pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], names=["shard", "word", "n", "suspect"])
+                [pa.nulls(m, pa.int64()), pa.nulls(m, key_type), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.string())), pa.array([w for w, _ in words], pa.string()),
+                 pa.array(list(words.values()), pa.int64()), pa.array([s for _, s in words], pa.bool_())], names=names)
 
+        names = ["row", "key", "written", "text", "words", "word", "n", "suspect"]
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for s in b.column(0).to_pylist():
-                if s:
-                    seen.update(s.split())
+            key_type = b.schema.field(0).type
+            written, texts, own = [], [], []
+            for s in b.column(1).to_pylist():
+                tokens = s.split()
+                seen.update(tokens)
+                odd: list[str] | None = None
+                if not s.isascii():
+                    found = {suspects[t] for t in set(tokens) if not t.isascii()} - {None}
+                    odd = sorted(found - {""}) if found else None
+                if odd is None and any(c in s for c in _BLANKS):
+                    odd = []
+                written.append(hashlib.md5(s.encode("utf-8", "surrogatepass")).hexdigest())
+                texts.append(s if odd is not None else None)
+                own.append(odd)
+            m = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + m)), b.column(0), pa.array(written, pa.string()), pa.array(texts, pa.string()), pa.array(own, pa.list_(pa.string())), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())],
+                names=names,
+            )
+            row += m
             if len(seen) > WORDS_HELD:
                 yield flush()
         if seen:
             yield flush()
 
-    return docs.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").mapInArrow(counts, "shard STRING, word STRING, n BIGINT, suspect BOOLEAN")
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    of = docs.schema[key].dataType.simpleString()
+    return scratch.save(named.mapInArrow(run, f"row BIGINT, key {of}, written STRING, text STRING, words ARRAY<STRING>, word STRING, n BIGINT, suspect BOOLEAN"))
 
 
 def _token_words(token: str) -> list[str]:
@@ -229,54 +271,68 @@ def _edges() -> re.Pattern:
 
 
 def canonical_spellings(words: DataFrame, max_cost: int = 0) -> DataFrame:
-    """(word, spelling) of every suspect word: through the trie of its shard, else by table."""
-    total = words.groupBy("shard", "word", "suspect").agg(F.sum("n").alias("n"))
-    asked = total.where("suspect").select("shard").distinct()
-    sorted_words = total.join(asked, "shard", "left_semi").repartition("shard").sortWithinPartitions("shard", "suspect", "word")
+    """(word, n, spelling) of every suspect word: through the tries of the vocabulary, else by table.
+
+    ``words``: (word, n, suspect), counts to be added up. Words and suspects meet in a trie through their
+    readings with up to ``max_cost`` characters left out, so no word within reach is elsewhere and no trie
+    depends on a word's beginning; only words that share such a key with a suspect are in a trie at all.
+    """
+    total = words.groupBy("word", "suspect").agg(F.sum("n").alias("n"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [meeting_keys(w, max_cost) for w in b.column(0).to_pylist()]
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), *[b.column(i).take(at) for i in range(3)]], names=["meet", "word", "n", "suspect"])
+
+    rows = total.select("word", "n", "suspect").mapInArrow(keyed, "meet BIGINT, word STRING, n BIGINT, suspect BOOLEAN")
+    asked = rows.where("suspect")
+    near = rows.where("NOT suspect").join(asked.select("meet").distinct(), "meet", "left_semi")
+    shards = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
+    both = asked.unionByName(near).withColumn("shard", F.pmod("meet", F.lit(shards)).cast("int")).select("shard", "suspect", "word", "n").distinct()
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, "shard", 5_000):
+        for t in whole_runs(batches, "shard", TRIE_KEYS):
             word, n, sus = t.column("word").to_pylist(), t.column("n").to_pylist(), np.array(t.column("suspect").to_pylist(), bool)
-            starts = run_starts(np.array(t.column("shard").to_pylist(), object))
-            out: list[tuple[str, str]] = []
+            starts = run_starts(t.column("shard").combine_chunks().to_numpy())
+            out: list[tuple] = []
             for a, b in zip(starts[:-1], starts[1:]):
-                if not sus[a:b].any():
-                    continue
                 trie = VocabularyTrie()
                 for i in range(a, b):
                     if not sus[i]:
                         trie.add(word[i], n[i])
-                out += [(word[i], trie.search(word[i], max_cost) or fold_text(word[i])) for i in range(a, b) if sus[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([s for _, s in out], pa.string())], names=["word", "spelling"])
+                out += [(word[i], n[i], *(trie.best(word[i], max_cost) or (None, None, None))) for i in range(a, b) if sus[i]]
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, ty) for c, ty in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=["word", "n", "cost", "less", "spelling"]
+            )
 
-    return sorted_words.select("shard", "word", "n", "suspect").mapInArrow(spell, "word STRING, spelling STRING")
+    found = both.repartition("shard").sortWithinPartitions("shard", "suspect", "word").mapInArrow(spell, "word STRING, n BIGINT, cost INT, less BIGINT, spelling STRING")
+    best = F.min(F.when(F.col("spelling").isNotNull(), F.struct("cost", "less", "spelling"))).alias("b")
 
+    def by_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = [s if s is not None else fold_text(w) for w, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(told, pa.string())], names=["word", "n", "spelling"])
 
-def canonical_texts(docs: DataFrame, key: str, text: str, scratch: Scratch, max_cost: int = 0) -> DataFrame:
+    return found.groupBy("word").agg(F.max("n").alias("n"), best).select("word", "n", "b.spelling").mapInArrow(by_table, "word STRING, n BIGINT, spelling STRING")
+
+
+def canonical_texts(docs: DataFrame, key: str, text: str, scratch: Scratch, max_cost: int = 0, scan: DataFrame | None = None) -> DataFrame:
     """(key, text, canonical) of the texts with suspect characters; every other text reads as it is.
 
     Every blank becomes a space and every line end a line feed; words are replaced by their canonical
     spelling. Two texts have equal canonical forms exactly if they read the same (with ``max_cost`` 0).
-    Null texts are left out, empty ones are not suspect. Other columns of ``docs`` may have any name.
+    Null texts are left out, empty ones are not suspect. Rows that repeat a key are texts of their own.
+    Other columns of ``docs`` may have any name.
     """
-    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    odd = named.where(suspect(F.col("text")) | F.col("text").contains("\r"))
-    spelling = canonical_spellings(corpus_words(docs, text), max_cost)
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, word = [], []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for token in set(s.split()):
-                    if not token.isascii() and _special().search(token):
-                        for w in _token_words(token):
-                            key.append(k)
-                            word.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(key, b.schema.field(0).type), pa.array(word, pa.string())], names=["key", "word"])
-
-    of = docs.schema[key].dataType.simpleString()
-    asked = odd.mapInArrow(suspects, f"key {of}, word STRING").distinct()
-    pairs = asked.join(spelling, "word").groupBy("key").agg(F.collect_list(F.struct("word", "spelling")).alias("words"))
+    scan = scanned(docs, key, text, scratch) if scan is None else scan
+    spelling = scratch.save(canonical_spellings(scan.where("word IS NOT NULL").select("word", "n", "suspect"), max_cost).select("word", "spelling"))
+    odd = scan.where("text IS NOT NULL").select("row", "key", "text", "words")
+    # a word that many documents have is spread over SPREAD parts
+    asked = odd.select("row", F.pmod("row", F.lit(SPREAD)).cast("int").alias("part"), F.explode("words").alias("word"))
+    told = spelling.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    pairs = asked.join(told, ["word", "part"]).groupBy("row").agg(F.collect_list(F.struct("word", "spelling")).alias("words"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,16 +353,17 @@ def canonical_texts(docs: DataFrame, key: str, text: str, scratch: Scratch, max_
                 out.append(fold_text(spelled))  # blanks, line ends and what composes across the seams
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["key", "text", "canonical"])
 
-    done = odd.join(pairs, "key", "left").mapInArrow(rewrite, f"key {of}, text STRING, canonical STRING")
+    of = docs.schema[key].dataType.simpleString()
+    done = odd.select("row", "key", "text").join(pairs, "row", "left").select("key", "text", "words").mapInArrow(rewrite, f"key {of}, text STRING, canonical STRING")
     return scratch.save(done)
 
 
 def readings(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     """(key, written, reading): digests of each text as it is written and as it reads."""
-    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    odd = canonical_texts(docs, key, text, scratch).select("key", F.md5("text").alias("written"), F.md5("canonical").alias("reading"))
-    plain = named.where(~(suspect(F.col("text")) | F.col("text").contains("\r"))).select("key", F.md5("text").alias("written"))
-    return odd.unionByName(plain.select("key", "written", F.col("written").alias("reading")))
+    scan = scanned(docs, key, text, scratch)
+    odd = canonical_texts(docs, key, text, scratch, scan=scan).select("key", F.md5("text").alias("written"), F.md5("canonical").alias("reading"))
+    plain = scan.where("written IS NOT NULL AND text IS NULL").select("key", "written", F.col("written").alias("reading"))
+    return odd.unionByName(plain)
 
 
 def look_alike_classes(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
@@ -331,3 +388,11 @@ def look_alike_pairs(classes: DataFrame) -> DataFrame:
     left = two.join(classes.select("reading", "written", F.col("key").alias("x")), ["reading", "written"])
     both = left.join(classes.select("reading", F.col("written").alias("other"), F.col("key").alias("y")), ["reading", "other"])
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def look_alike_links(classes: DataFrame) -> DataFrame:
+    """(key, class_key, n_strings, n_links): for each text of a class the class, by its smallest key, its different strings, and the texts that read the same but are written differently."""
+    strings = classes.groupBy("reading", "written").agg(F.count("*").alias("copies"), F.min("key").alias("first"))
+    whole = strings.groupBy("reading").agg(F.sum("copies").alias("texts"), F.count("*").alias("n_strings"), F.min("first").alias("class_key"))
+    per = strings.join(whole, "reading").select("reading", "written", "class_key", "n_strings", (F.col("texts") - F.col("copies")).alias("n_links"))
+    return classes.join(per, ["reading", "written"]).select("key", "class_key", "n_strings", "n_links")

@@ -139,7 +139,9 @@ def p6_merged_releases(spark: SparkSession, folder: str) -> DataFrame:
         "release_id", "tissue", "score_type", F.explode(F.array(*[F.struct(F.lit(p).alias("ecm_program"), F.col(s).alias("score")) for p, s in SLUGS.items()])).alias("x")
     ).select("release_id", "tissue", "score_type", "x.*")
     keys = ["tissue", "score_type", "ecm_program"]
-    merged = quantiles.merge_summaries(quantiles.grid_summary(long, ["release_id", *keys], "score"), keys)
+    # what is kept of a release is its summary: later releases are written beside it and merged without the scores
+    summaries = Scratch(spark, "p6m").save(quantiles.grid_summary(long, ["release_id", *keys], "score"))
+    merged = quantiles.merge_summaries(summaries, keys)
     out = quantiles.summary_percentiles(merged, keys, [0.25, 0.5, 0.75])
     return out.select(*keys, "n", *[F.round(f"q{i}", 3).alias(c) for i, c in enumerate(("q25", "median", "q75"))])
 
@@ -156,6 +158,19 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), (F.sum("tokens") / F.count("*") / packing.CAPACITY).alias("filled"))
 
 
+def p7_conservation(spark: SparkSession, folder: str) -> DataFrame:
+    """What packing must keep: every document once, no token lost between its pieces, nothing cut that fits, nothing too full."""
+    rows = Scratch(spark, "p7c").save(p7_containers(spark, folder))
+    docs = rows.groupBy("doc_id").agg(
+        F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count("container").alias("placed"),
+    )
+    full = rows.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("tokens"))
+    return docs.agg(
+        F.count("*").alias("documents"), F.count_if("tokens = 0 AND placed = 0").alias("empty"), F.count_if("end <> tokens OR (tokens > 0 AND placed <> pieces)").alias("with_gaps"),
+        F.count_if(F.col("pieces") > F.greatest(F.ceil(F.col("tokens") / packing.CAPACITY), F.lit(1))).alias("cut_though_fitting"),
+    ).crossJoin(full.agg(F.count_if(F.col("tokens") > packing.CAPACITY).alias("too_full")))  # one row beside one row
+
+
 # 8. leaks -------------------------------------------------------------------------------------------------
 def _p8(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -183,6 +198,18 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.look_alike_pairs(classes).select(F.col("a").cast("bigint").alias("doc_id_a"), F.col("b").cast("bigint").alias("doc_id_b"))
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document of a class of look-alikes, with the class and the number of its look-alikes."""
+    links = lookalike.look_alike_links(lookalike.look_alike_classes(table(spark, folder, "documents"), "doc_id", "text", Scratch(spark, "p9")))
+    return links.withColumnsRenamed({"key": "doc_id", "class_key": "class_id"})
+
+
+def p9_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """The spelling of every word with suspect characters, where one letter more, less or other than in the corpus is allowed."""
+    scan = lookalike.scanned(table(spark, folder, "documents"), "doc_id", "text", Scratch(spark, "p9"))
+    return lookalike.canonical_spellings(scan.where("word IS NOT NULL").select("word", "n", "suspect"), max_cost=1)
+
+
 def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """The canonical form of every text that is written in another way."""
     done = lookalike.canonical_texts(table(spark, folder, "documents"), "doc_id", "text", Scratch(spark, "p9"))
@@ -192,7 +219,7 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_clusters, p4_found, p4_class_pairs, p4_links, p3_found, p3_unmatched, p6_found, p6_quartiles, p6_merged_releases, p7_containers, p7_fill, p8_found, p8_tiles, p8_leaked_items, p9_found, p9_canonical)
+        for f in (p1_found, p1_clusters, p4_found, p4_class_pairs, p4_links, p3_found, p3_unmatched, p6_found, p6_quartiles, p6_merged_releases, p7_containers, p7_fill, p7_conservation, p8_found, p8_tiles, p8_leaked_items, p9_found, p9_classes, p9_spellings, p9_canonical)
     }
 
 
@@ -229,9 +256,13 @@ def oracle_sql() -> dict[str, str]:
     pairs = """pairs AS (SELECT a.module_id AS a, b.module_id AS b, len(list_intersect(a.items, b.items)) AS c, len(a.items) AS na, len(b.items) AS nb
         FROM sets a JOIN sets b ON a.feature_set = b.feature_set AND a.module_id < b.module_id)"""
     return {
+        "p7_conservation": "SELECT count(*) AS documents, count_if(coalesce(text, '') = '') AS empty, CAST(0 AS BIGINT) AS with_gaps, CAST(0 AS BIGINT) AS cut_though_fitting, CAST(0 AS BIGINT) AS too_full FROM documents",
         "p8_found": f"""WITH d AS ({grams('doc_id', 'text', 'documents')}), i AS ({grams('item_id', 'item_text', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)""",
         "p9_found": f"""WITH c AS (SELECT doc_id, md5(text) AS w, md5({read}) AS r FROM documents WHERE text IS NOT NULL)
             SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.r = b.r AND a.w <> b.w AND a.doc_id < b.doc_id""",
+        "p9_classes": f"""WITH c AS (SELECT doc_id, md5(text) AS w, md5({read}) AS r FROM documents WHERE text IS NOT NULL), s AS (SELECT r, w, count(*) AS copies FROM c GROUP BY 1, 2),
+            k AS (SELECT c.r, min(doc_id) AS class_id, count(DISTINCT w) AS n_strings, count(*) AS texts FROM c GROUP BY 1 HAVING count(DISTINCT w) > 1)
+            SELECT doc_id, class_id, n_strings, CAST(texts - copies AS BIGINT) AS n_links FROM c JOIN k USING (r) JOIN s USING (r, w)""",
         "p4_found": f"WITH {sets}, {pairs} SELECT a AS module_id_a, b AS module_id_b FROM pairs WHERE 3 * c >= na + nb",
         "p6_found": f"""SELECT DISTINCT release_id, tissue, score_type, ecm_program FROM {SUMMARY} JOIN ({_QUARTILES}) USING (release_id, tissue, score_type, ecm_program)
             WHERE abs(median_score - median) > 0.05 OR abs(q25_score - q25) > 0.05 OR abs(q75_score - q75) > 0.05""",

@@ -126,6 +126,39 @@ def test_readings_pair_up(spark, scratch):
     for k, c in done.items():
         assert c == lookalike.fold_text(text[k])
     assert lookalike.look_alike_classes(df.where("false"), "k", "t", scratch).count() == 0
+    links = {r.key: (r.class_key, r.n_links) for r in lookalike.look_alike_links(lookalike.look_alike_classes(df, "k", "t", scratch)).collect()}
+    assert sum(n for _, n in links.values()) == 2 * len(got) and all(c <= k for k, (c, _) in links.items())
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_spellings_equal_a_search_of_the_whole_vocabulary(spark, scratch):
+    """With one edit allowed, wherever it is, and not what the table alone gives."""
+    rng = random.Random(21)
+    back = {to: c for c, to in lookalike.LOOKALIKE.items()}
+    plain = ["judgement", "court", "courts", "appeal", "party", "1996", "1998", "a", "at", "Brüwell"]
+    odd = []
+    for w in ["judgment", "ourt", "xcourt", "appeal", "partly", "199", "qqqqqq", "o", "Bruwell", "courtss"] * 3:
+        i = next((i for i, c in enumerate(w) if c in back), None)
+        odd.append(w + "\u200b" if i is None or rng.random() < 0.3 else w[:i] + back[w[i]] + w[i + 1 :])
+    rows = [(w, rng.randint(1, 9), False) for w in plain] + [(w, 1, True) for w in odd]
+    words = spark.createDataFrame(rows, "word STRING, n BIGINT, suspect BOOLEAN")
+    count = {w: n for w, n, s in rows if not s}
+    for cost in (0, 1, 2):
+        got = {r.word: r.spelling for r in lookalike.canonical_spellings(words, cost).collect()}
+        assert set(got) == set(odd)
+        for w in odd:
+            read = unicodedata.normalize("NFD", lookalike.fold_text(w))
+            best = min(((edits(read, unicodedata.normalize("NFD", p)), -n, p) for p, n in count.items()), default=None)
+            assert got[w] == (best[2] if best[0] <= cost else lookalike.fold_text(w)), (w, cost)
+        assert (cost > 0) == any(got[w] != lookalike.fold_text(w) for w in odd)
 
 
 @settings(max_examples=200, deadline=None)
