@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from matrixloom.operators.segments import run_starts, whole_runs
 from matrixloom.session import Scratch
 
-#: Records of a node that are compared by brute force.
-LEAF = 128
+#: Records of a node that are compared by brute force. A larger node costs as many comparisons as the nodes it would
+#: branch into, but its sets are sent once and not once for every branch.
+LEAF = 512
+#: Places in which the records of one node learn that it is large.
+PARTS = 16
 #: Levels of branching; nodes that are larger even then are compared block by block.
 MAX_DEPTH = 5
 #: Common children that two records at the threshold expect.
@@ -132,8 +135,10 @@ def similar_classes(
     for depth in range(max_depth + 1):
         level = scratch.save(level)
         big = level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > leaf)
-        small = level.join(big, "node", "left_anti").select("node", "rid", "side", "toks")
-        rest = level.join(big, "node")
+        told = big.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        placed = level.withColumn("part", F.pmod("rid", F.lit(PARTS)).cast("int")).join(told, ["node", "part"], "left").drop("part")
+        small = placed.where("members IS NULL").select("node", "rid", "side", "toks")
+        rest = placed.where("members IS NOT NULL")
         if depth == max_depth:
             small = small.unionByName(_in_blocks(rest, leaf))
         elif depth:  # two sets that share the path alone have no common child; at the threshold such sets are that short

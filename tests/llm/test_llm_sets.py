@@ -49,7 +49,7 @@ def test_short_sets_in_a_full_node(spark, scratch):
     sets = [["t"], ["t", "u"], *[["t", f"b{k}"] for k in range(200)], *[["t", "u", f"a{k}"] for k in range(200)]]
     rows = [(k, "g", v) for k, v in enumerate(sets)]
     classes = scratch.save(setpairs.set_classes(spark.createDataFrame(rows, "key INT, grp STRING, items ARRAY<STRING>")))
-    got = {(r.a, r.b) for r in setpairs.expand_pairs(classes, setpairs.similar_classes(classes, 0.5, scratch)).collect()}
+    got = {(r.a, r.b) for r in setpairs.expand_pairs(classes, setpairs.similar_classes(classes, 0.5, scratch, leaf=128)).collect()}
     assert got == brute_pairs(rows, 0.5)
 
 
@@ -113,6 +113,36 @@ def test_entries(spark, limit):
     assert canon.canonical_entries(df.where("false"), "rec", ["tissue"], terms).count() == 0
 
 
+def test_shards_answer_like_one_tree(spark):
+    rng = random.Random(12)
+    letters = "abcdefghi"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    names = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    terms = [(i, "f", n, "; ".join(word() for _ in range(rng.randint(0, 2))) or None) for i, n in enumerate(names)]
+    terms += [(100, "f", "abcdefghijkl", None), (101, "f", "hizzz", None), (None, "f", "x y", None), terms[3], (3, "f", names[3], "zz")]
+    values = ["abcdefghizzz", " ".join([*["qq"] * 9, names[5], *["qq"] * 12]), " ".join(reversed(names[0].split()))]
+    for _ in range(150):
+        w = rng.choice(names).split()
+        at = rng.randrange(len(w))
+        w[at] = rng.choice([w[at][:-1] + "z", w[at][:2] + ".", w[at] + "q", w[at][1:], w[at]])
+        rng.shuffle(w)
+        values.append(" ".join([*w, *[word() for _ in range(rng.randint(0, 2))]]))
+    asked = spark.createDataFrame([("f", v) for v in sorted(set(values))], "field_name STRING, value STRING")
+    known = spark.createDataFrame(terms, "term_id INT, field_name STRING, canonical_name STRING, known_aliases STRING")
+    one, many = ({tuple(r) for r in canon.match_values(asked, known, n).collect()} for n in (1000, 9))
+    assert one == many and len(one) > 100
+    got = {v: (c, t) for _, v, c, t in one}
+    assert got["abcdefghizzz"] == (3.0, 100) and got[values[1]][1] == 5
+
+
+def test_a_value_of_many_records_is_split(spark, monkeypatch):
+    monkeypatch.setattr(canon, "SPLIT_ROWS", 10)
+    df = spark.createDataFrame([(i, "stomcah" if i % 3 else f"skin {i}") for i in range(300)], "rec INT, tissue STRING")
+    terms = spark.createDataFrame(TERMS, "term_id INT, field_name STRING, canonical_name STRING, known_aliases STRING")
+    got = [(r.key, r.term_id) for r in canon.canonical_entries(df, "rec", ["tissue"], terms).collect()]
+    assert sorted(got) == [(i, 3 if i % 3 else 2) for i in range(300)]
+
+
 # percentiles ------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [7, 100_000])
 def test_percentiles_equal_numpy(spark, scratch, block):
@@ -131,6 +161,18 @@ def test_percentiles_equal_numpy(spark, scratch, block):
     assert quantiles.percentiles(df.where("false"), ["grp"], {"v": "v"}, [0.5], scratch).count() == 0
 
 
+def test_one_group_in_many_blocks(spark, scratch):
+    df = spark.range(1_000_000).select(F.lit("g").alias("g"), "id", (F.pmod(F.xxhash64("id"), F.lit(700_001)) / 1000).alias("v"))
+    blocks = quantiles.value_blocks(df, ["g"], {"v": "v"}, F.col("id"), scratch, 4096)
+    assert blocks.count() > 200
+    got = {r.k: (r.n, r.value) for r in quantiles.multi_select(blocks, [0.5, 0.99], scratch, fan_in=16).collect()}
+    v = np.array([r.v for r in df.select("v").collect()])
+    for i, p in enumerate((0.5, 0.99)):
+        assert got[i] == (1_000_000, pytest.approx(np.quantile(v, p), abs=1e-9))
+    with pytest.raises(RuntimeError):
+        quantiles.multi_select(blocks, [0.5], scratch, max_rounds=2)
+
+
 def test_summaries_merge(spark):
     rng = np.random.default_rng(0)
     rows = [(d, "ab"[i % 2], float(rng.normal(3, 2))) for d in range(5) for i in range(300)]
@@ -165,6 +207,18 @@ def test_containers(spark, scratch):
     assert packing.pack(df.where("false"), "id", "body", scratch).count() == 0
 
 
+def test_the_merge_of_open_containers_is_bounded(spark, scratch):
+    rng = random.Random(9)
+    left = [(p << 40 | i, rng.randint(1, 99), p) for p in range(64) for i in range(8)]
+    df = spark.createDataFrame(left, "bin BIGINT, n_tokens INT, part INT")
+    into = {r.bin: r.into for r in packing._merge(df, scratch, 100, 8, 4).collect()}
+    filled = {}
+    for b, n, _ in left:
+        filled[into[b]] = filled.get(into[b], 0) + n
+    assert set(into) == {b for b, _, _ in left} and max(filled.values()) <= 100
+    assert sum(filled.values()) / (100 * len(filled)) > 0.85
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80), st.integers(1, 6))
 def test_best_fit_rule(sizes, limit):
