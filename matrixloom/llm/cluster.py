@@ -37,6 +37,11 @@ MARGIN = 0.025
 DENSE = 48
 
 
+def axes_for(profiles: int) -> int:
+    """Axes of a cell for so many different profiles, so that cells stay small."""
+    return 2 if profiles <= FEW else 3 if profiles <= MANY else 4
+
+
 def quantised_profiles(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     """(id, key, vec): the centred profile of each row in 8 bits per feature; no shuffle.
 
@@ -113,35 +118,25 @@ def _cells(u: np.ndarray, which: int, axes: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit number for two."""
-    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(0x7F4A7C15))
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+def _in_cells(q: np.ndarray, axes: int, grids: range) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of all cells in the grids named."""
+    u = _unit(q)
+    cells = np.concatenate([_cells(u, g, axes) for g in grids], 1)
+    return np.repeat(np.arange(len(u)), cells.shape[1]), cells.ravel()
+
 
+def _blocks_apart(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """``rows`` (cell, id, vec) with each cell of ``full`` (cell, blocks) replaced by all pairs of its blocks, three blocks at least.
 
-def _in_cells(q: np.ndarray, axes: int, full: dict[int, int], grids: range) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of all cells in the grids named; a cell of ``full`` gives way to all pairs of its blocks, two at least."""
-    row, cell = [], []
-    u = _unit(q)
-    digest = q.astype(np.int64) @ np.random.default_rng(5).integers(1, 2**40, q.shape[1])
-    hot = np.fromiter(full, np.int64, len(full))
-    for g in grids:
-        cells = _cells(u, g, axes)
-        r, c = np.repeat(np.arange(len(u)), cells.shape[1]), cells.ravel()
-        over = np.isin(c, hot)
-        row.append(r[~over])
-        cell.append(c[~over])
-        r, c = r[over], c[over]
-        if len(r):
-            blocks = np.array([full[x] for x in c.tolist()], np.int64)
-            own = (_mix(digest[r], np.zeros(len(r), np.int64)) & np.int64(2**62 - 1)) % blocks
-            at, oo = np.repeat(np.arange(len(r)), blocks), np.concatenate([np.arange(n) for n in blocks])
-            at, oo = at[other := oo != own[at]], oo[other]  # rows of one block meet in its pairs with others
-            low, high = np.minimum(own[at], oo), np.maximum(own[at], oo)
-            row.append(r[at])
-            cell.append(_mix(c[at], low * 1_000_003 + high))
-    return np.concatenate(row), np.concatenate(cell)
+    The join is by the planner's choice: a short list of full cells is broadcast, a long one isn't.
+    """
+    own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
+    # rows of one block meet in its pairs with others
+    pairs = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != own), lambda o: F.xxhash64("cell", F.least(own, o), F.greatest(own, o))
+    )
+    placed = rows.join(full, "cell", "left").withColumn("cells", F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(pairs))
+    return placed.select(F.explode("cells").alias("cell"), "id", "vec")
 
 
 def _pearson(qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
@@ -207,27 +202,25 @@ def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: in
     # rows with one profile, repeated or copied, are represented by the smallest id
     copies = scratch.save(some.groupBy("vec").agg(F.min("id").alias("id")).select("id", F.xxhash64("vec").alias("h"), "vec"))
     n = copies.count()
-    scratch.release()
     # cells per grid grow with the axes, so that cells stay small; the grids make up for what more axes miss
-    axes = axes or (2 if n <= FEW else 3 if n <= MANY else 4)
+    axes = axes or axes_for(n)
     grids = grids or GRIDS[axes]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cells, k = np.unique(_in_cells(_vectors(b.column(0)), axes, {}, range(grids))[1], return_counts=True)
+                cells, k = np.unique(_in_cells(_vectors(b.column(0)), axes, range(grids))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(k)], names=["cell", "n"])
 
     counts = copies.select("vec").mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n"))
-    # at most copies x cells / CELL_ROWS cells can be full
-    full = {r[0]: -(-2 * r[1] // CELL_ROWS) for r in counts.where(F.col("n") > CELL_ROWS).collect()}
+    full = scratch.save(counts.where(F.col("n") > CELL_ROWS).select("cell", F.ceil(2 * F.col("n") / CELL_ROWS).cast("int").alias("blocks")))
 
     def spread(some_grids: range):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for s in range(0, b.num_rows, 2000):
                     part = b.slice(s, 2000)
-                    row, cell = _in_cells(_vectors(part.column(1)), axes, full, some_grids)
+                    row, cell = _in_cells(_vectors(part.column(1)), axes, some_grids)
                     for c in range(0, len(row), SENT_ROWS):
                         at = pa.array(row[c : c + SENT_ROWS])
                         yield pa.RecordBatch.from_arrays([pa.array(cell[c : c + SENT_ROWS]), part.column(0).take(at), part.column(1).take(at)], names=["cell", "id", "vec"])
@@ -255,10 +248,8 @@ def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: in
     out = scratch.save(out.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), F.lit(True).alias("sure")))
     for g in range(0, grids, GRIDS_AT_ONCE):  # the profiles sent for some grids are deleted before the next
         rows = copies.select("id", "vec").mapInArrow(spread(range(g, min(g + GRIDS_AT_ONCE, grids))), "cell BIGINT, id BIGINT, vec BINARY")
-        found = rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(link, "a BIGINT, b BIGINT, sure BOOLEAN")
+        found = _blocks_apart(rows, full).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(link, "a BIGINT, b BIGINT, sure BOOLEAN")
         out = out.unionByName(scratch.save(found))
-        del rows, found
-        scratch.release()
     return out
 
 
@@ -312,7 +303,7 @@ def star_labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     the centres alone. A node has at most as many centres as it has cells, so its list is short.
     """
     own = scratch.save(links.groupBy(F.col("b").alias("id")).agg(F.array_sort(F.collect_set("a")).alias("centres")))
-    between = own.select(F.col("centres")[0].alias("a"), F.explode(F.slice("centres", 2, 100_000)).alias("b")).distinct()
+    between = own.select(F.col("centres")[0].alias("a"), F.explode(F.slice("centres", F.lit(2), F.size("centres"))).alias("b")).distinct()
     # a node may itself be a centre: its link to its own centre holds between centres, too
     centres = scratch.save(minimum_labels(between.unionByName(own.select(F.col("centres")[0].alias("a"), F.col("id").alias("b")).join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi")), scratch))
     first = own.select("id", F.col("centres")[0].alias("centre"))
@@ -353,16 +344,18 @@ def clusters(df: DataFrame, key: str, features: list[str], threshold: float, scr
 def cluster_report(df: DataFrame, key: str, features: list[str], members: DataFrame, typical: int = 3) -> DataFrame:
     """(cluster_id, n_members, cell_members, typical): size and most typical members of each cluster.
 
-    Typical are the first keys, in order, of the cell that holds most of the cluster's members.
+    Typical are the first keys, in order, of the cell, of all cells by which the clusters are found, that holds
+    most of the cluster's members. A member without a profile of its own is in no cell.
     """
     points = quantised_profiles(df, key, features).where("vec IS NOT NULL").groupBy("key").agg(F.max("vec").alias("vec"))
+    axes = axes_for(points.select("vec").distinct().count())
 
-    def first_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, cell = _in_cells(_vectors(b.column(1)), 2, {}, range(1))
+            row, cell = _in_cells(_vectors(b.column(1)), axes, range(GRIDS[axes]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell)], names=["key", "cell"])
 
-    cells = points.select("key", "vec").mapInArrow(first_cell, "key STRING, cell BIGINT").join(members, "key")
+    cells = points.select("key", "vec").mapInArrow(own_cells, "key STRING, cell BIGINT").join(members, "key")
     counted = cells.groupBy("cluster_id", "cell").agg(F.count("*").alias("n"))
     densest = counted.groupBy("cluster_id").agg(F.max_by(F.struct("cell", "n"), F.struct("n", -F.col("cell"))).alias("d"))
     densest = densest.select("cluster_id", F.col("d.cell").alias("cell"), F.col("d.n").alias("cell_members"))
