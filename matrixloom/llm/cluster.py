@@ -33,8 +33,8 @@ SENT_ROWS = 100_000
 MISSING = -128
 #: The correlation of the 8-bit profiles is off by less than this; closer calls go back to the values.
 MARGIN = 0.025
-#: Pairs per row from which a cell counts as dense.
-DENSE = 48
+#: Rows of a cell that are compared with all its rows at a time.
+AT_ONCE = 64
 
 
 def axes_for(profiles: int) -> int:
@@ -139,58 +139,70 @@ def _blocks_apart(rows: DataFrame, full: DataFrame) -> DataFrame:
     return placed.select(F.explode("cells").alias("cell"), "id", "vec")
 
 
-def _pearson(qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
-    """Correlation of the rows of two 8-bit matrices over the features that both have."""
-    both = (qa != MISSING) & (qb != MISSING)
-    a, b = np.where(both, qa, 0).astype(np.float32), np.where(both, qb, 0).astype(np.float32)
-    n = np.maximum(both.sum(1), 1).astype(np.float32)
-    sa, sb = a.sum(1), b.sum(1)
-    va, vb = np.einsum("ij,ij->i", a, a) - sa * sa / n, np.einsum("ij,ij->i", b, b) - sb * sb / n
-    d = np.sqrt(np.maximum(va, 0) * np.maximum(vb, 0))
-    return np.where((n >= 3) & (d > 0), (np.einsum("ij,ij->i", a, b) - sa * sb / n) / np.where(d > 0, d, 1), -1)
+def _correlations(q: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows, correlations of these rows with them and all later rows of an 8-bit matrix), over the features that both have; -1 where undefined.
 
-
-def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after the rows i and j of each pair have become one component; a label is its smallest row."""
-    while True:
-        new = label.copy()
-        np.minimum.at(new, label[i], label[j])
-        np.minimum.at(new, label[j], label[i])
-        new = new[new[label]]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def cell_links(q: np.ndarray, threshold: float, u: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """(label, close calls): the component of each row of a cell, by its first row, and the pairs that need an exact check.
-
-    In a dense cell each row that is in no component yet is compared with all rows that may be alike, so the
-    number of comparisons follows the rows and not the pairs; what remains between components is compared
-    pair by pair.
+    A block of rows at a time, so that what is computed for it stays in the processor's cache.
     """
+    there = (q != MISSING).astype(np.float32)
+    x = np.where(q == MISSING, 0, q).astype(np.float32)
+    complete = bool(there.all())
+    if complete:
+        x -= x.mean(1, keepdims=True)
+        x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    xt, tt, xxt, xx = x.T.copy(), there.T.copy(), (x * x).T.copy(), x * x
+    for s in range(0, len(q), AT_ONCE):
+        rows = slice(s, min(s + AT_ONCE, len(q)))
+        r = x[rows] @ xt[:, s:]
+        if not complete:
+            n = there[rows] @ tt[:, s:]
+            np.maximum(n, 1, out=n)
+            sa, sb = x[rows] @ tt[:, s:], there[rows] @ xt[:, s:]  # sums of either side over the features of the other
+            va, vb = xx[rows] @ tt[:, s:], there[rows] @ xxt[:, s:]
+            r -= sa * sb / n
+            va -= sa * sa / n
+            vb -= sb * sb / n
+            va *= vb
+            bad = (va <= 1e-3) | (n < 3)
+            va[bad] = 1
+            r /= np.sqrt(va)
+            r[bad] = -1
+        yield rows, r
+
+
+def _components(linked: np.ndarray) -> np.ndarray:
+    """The component of each row of a symmetric matrix of links, by its first row; every row's links are read once."""
+    m = len(linked)
+    label = np.full(m, -1)
+    for start in np.flatnonzero(linked.sum(1) > 1):
+        if label[start] < 0:
+            seen = np.zeros(m, bool)
+            seen[start] = True
+            at = np.array([start])
+            while len(at):
+                near = linked[at].any(0) & ~seen
+                seen |= near
+                at = np.flatnonzero(near)
+            label[seen] = start
+    return np.where(label < 0, np.arange(m), label)
+
+
+def cell_links(q: np.ndarray, threshold: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(label, close calls): the component of each row of a cell, by its first row, and the pairs between components that need an exact check."""
     m = len(q)
-    u = _unit(q) if u is None else u
-    # a tenth of the features missing moves the product by less than 0.25
-    floor = threshold - 0.25 if (np.count_nonzero(q == MISSING, axis=1) <= 0.1 * q.shape[1]).all() else -2.0
-    may = u @ u.T >= floor
-    i, j = np.nonzero(np.triu(may, 1))
-    label = np.arange(m)
-    if len(i) > DENSE * m:
-        done = np.zeros(m, bool)
-        for x in range(m):
-            if not done[x]:
-                y = np.flatnonzero(may[x])
-                y = y[_pearson(q[x : x + 1], q[y]) >= threshold + MARGIN]
-                done[y] = True
-                label = _merged(label, np.full(len(y), x), y)
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-    r = np.concatenate([_pearson(q[i[s : s + 65536]], q[j[s : s + 65536]]) for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-    sure = r >= threshold + MARGIN
-    label = _merged(label, i[sure], j[sure]) if sure.any() else label
-    close = ~sure & (r >= threshold - MARGIN) & (label[i] != label[j])
-    return label, (i[close], j[close])
+    sure = np.zeros((m, m), bool)
+    near: list[tuple[np.ndarray, np.ndarray]] = []
+    for rows, r in _correlations(q):
+        linked = r >= threshold + MARGIN
+        sure[rows, rows.start :] |= linked
+        sure[rows.start :, rows] |= linked.T
+        i, j = np.nonzero((r >= threshold - MARGIN) & ~linked)
+        near.append((i + rows.start, j + rows.start))
+    np.fill_diagonal(sure, True)
+    label = _components(sure)
+    i, j = (np.concatenate([x[k] for x in near]) for k in (0, 1))
+    use = (i < j) & (label[i] != label[j])
+    return label, (i[use], j[use])
 
 
 def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: int | None = None, axes: int | None = None) -> DataFrame:
@@ -232,11 +244,10 @@ def alike_links(points: DataFrame, threshold: float, scratch: Scratch, grids: in
             t = t.combine_chunks()
             starts = run_starts(t.column("cell").combine_chunks().to_numpy())
             ids, q = t.column("id").combine_chunks().to_numpy(), _vectors(t.column("vec"))
-            u = _unit(q)
             first, second, sure = [], [], []
             for a, b in zip(starts[:-1], starts[1:]):
                 if b - a > 1:
-                    label, close = cell_links(q[a:b], threshold, u[a:b])
+                    label, close = cell_links(q[a:b], threshold)
                     x = np.flatnonzero(label != np.arange(b - a))
                     first += [ids[a + label[x]], ids[a + close[0]]]
                     second += [ids[a + x], ids[a + close[1]]]
