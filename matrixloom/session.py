@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a query's shuffle files are deleted when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "matrixloom") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -54,25 +55,20 @@ class Scratch:
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return the written table."""
+        """Write ``df`` once and return the written table; the shuffle files of the step are deleted with its end."""
         self.n += 1
         path = f"{self.at}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEAN_UP) if before is None else self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of steps that have been saved and are referred to no more.
-
-        It deletes them when the driver's JVM collects its garbage, which a long run of small steps hardly causes.
-        """
-        for _ in range(2):  # what the first round finds unused the second one can delete
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
-
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table saved here that nothing reads any more; tables derived from one are not touched."""
         path = getattr(df, "_scratch_path", None)
