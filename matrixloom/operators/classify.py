@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     """``df`` with weights rows / (classes x rows of the class)."""
     n = df.groupBy(label).agg(F.count("*").alias("__n"))
     total = n.agg(F.sum("__n").alias("__t"), F.count("*").alias("__k"))
-    return df.join(n, label).join(F.broadcast(total)).withColumn(out, F.col("__t") / (F.col("__k") * F.col("__n"))).drop("__n", "__t", "__k")
+    return df.join(n, label).crossJoin(total).withColumn(out, F.col("__t") / (F.col("__k") * F.col("__n"))).drop("__n", "__t", "__k")
 
 
 def majority_predictions(df: DataFrame, label: str) -> DataFrame:
@@ -36,9 +38,9 @@ def majority_predictions(df: DataFrame, label: str) -> DataFrame:
     n = df.groupBy("fold", label).agg(F.count("*").alias("n"))
     total = n.groupBy(label).agg(F.sum("n").alias("total"))
     folds = n.select(F.col("fold").alias("test")).distinct()
-    train = folds.join(F.broadcast(total)).join(n.select(F.col("fold").alias("test"), label, "n"), ["test", label], "left").withColumn("m", F.col("total") - F.coalesce("n", F.lit(0)))
+    train = folds.crossJoin(total).join(n.select(F.col("fold").alias("test"), label, "n"), ["test", label], "left").withColumn("m", F.col("total") - F.coalesce("n", F.lit(0)))
     best = train.groupBy(F.col("test").alias("fold")).agg(F.min_by(label, F.struct(-F.col("m"), F.col(label))).alias("predicted"))
-    return df.join(F.broadcast(best), "fold")
+    return df.join(best, "fold")
 
 
 def confusion(predictions: DataFrame, label: str, predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
@@ -66,44 +68,68 @@ def metrics(predictions: DataFrame, label: str, predicted: str = "predicted", by
     )
 
 
-#: name -> (classifier from number of features and classes, whether features are scaled)
+#: name -> (classifier from numbers of features, classes and rows, whether features are scaled)
 MODELS: dict[str, tuple[Callable, bool]] = {
-    "logistic": (lambda p, k: LogisticRegression(family="multinomial", weightCol="__weight", labelCol="__y", featuresCol="__x", regParam=0.001, maxIter=30, standardization=False), True),
-    "forest": (lambda p, k: RandomForestClassifier(numTrees=30, maxDepth=10, minInstancesPerNode=2, weightCol="__weight", labelCol="__y", featuresCol="__x", seed=42), False),
-    "bagged_trees": (lambda p, k: RandomForestClassifier(numTrees=20, maxDepth=10, featureSubsetStrategy="all", weightCol="__weight", labelCol="__y", featuresCol="__x", seed=42), False),
-    "dense_network": (lambda p, k: MultilayerPerceptronClassifier(layers=[p, 32, k], labelCol="__y", featuresCol="__x", maxIter=60, seed=42), True),
+    "logistic": (lambda p, k, n: LogisticRegression(family="multinomial", weightCol="__weight", labelCol="__y", featuresCol="__x", regParam=1.0 / max(n, 1), maxIter=100, standardization=False), True),
+    "forest": (lambda p, k, n: RandomForestClassifier(numTrees=30, maxDepth=10, minInstancesPerNode=2, weightCol="__weight", labelCol="__y", featuresCol="__x", seed=42), False),
+    "bagged_trees": (lambda p, k, n: RandomForestClassifier(numTrees=20, maxDepth=10, featureSubsetStrategy="all", weightCol="__weight", labelCol="__y", featuresCol="__x", seed=42), False),
+    "dense_network": (lambda p, k, n: MultilayerPerceptronClassifier(layers=[p, 32, k], labelCol="__y", featuresCol="__x", maxIter=60, seed=42), True),
 }
-
-
-def cross_validate(df: DataFrame, features: list[str], label: str, models: list[str], folds: list[int] | None = None) -> DataFrame:
+#: Folds that a cross-validation takes at most.
+MAX_FOLDS = 1000
+_ROW = "model STRING, fold INT, status STRING, error STRING, n BIGINT, accuracy DOUBLE, balanced_accuracy DOUBLE, macro_f1 DOUBLE, weighted_f1 DOUBLE"
+
+
+def _fold_row(name: str, fold: int, train: DataFrame, test: DataFrame, features: list[str], label: str, components: int | None) -> tuple:
+    """Fit one model on one fold; an error becomes a row of status ``failed``."""
+    try:
+        make, scaled = MODELS[name]
+        n, k = train.count(), train.select(label).distinct().count()
+        raw = "__raw" if scaled or components else "__x"
+        stages = [StringIndexer(inputCol=label, outputCol="__y", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol=raw)]
+        if components:
+            stages += [StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True), PCA(k=components, inputCol="__scaled", outputCol="__axes")]
+            raw = "__axes"
+        stages += [StandardScaler(inputCol=raw, outputCol="__x", withMean=True)] if scaled or components else []
+        fitted = Pipeline(stages=[*stages, make(components or len(features), k, n)]).fit(balanced_weights(train, label, "__weight"))
+        names = F.array(*[F.lit(x) for x in fitted.stages[0].labels])
+        told = fitted.transform(test).withColumn("predicted", F.element_at(names, (F.col("prediction") + 1).cast("int")))
+        m = metrics(told, label).select("n", "accuracy", "balanced_accuracy", "macro_f1", "weighted_f1").first()
+        return (name, fold, "ok", "", *m)
+    except Exception as e:  # noqa: BLE001
+        return (name, fold, "failed", str(e)[:200], 0, None, None, None, None)
+
+
+def cross_validate(
+    df: DataFrame, features: list[str], label: str, models: list[str], folds: list[int] | None = None, components: int | None = None, parallelism: int = 4
+) -> DataFrame:
     """One row per model and fold: status, error, sizes and the metrics on the fold.
 
-    ``df`` has ``fold``; models are fitted on all rows of the other folds. A model that fails has status
-    ``failed`` and the error's text, and the others go on. Missing features are 0.
+    ``df`` has ``fold``; models are fitted on all rows of the other folds. With a column ``is_test`` the rows of a
+    fold are its training and test rows with features of their own. ``components`` puts that many principal axes,
+    fitted on the training rows, in the features' place. A model that fails has status ``failed`` and the error's
+    text, and the others go on. Missing features are 0. Several fits are under way at a time.
     """
     spark = df.sparkSession
-    data = df.where(F.col(label).isNotNull()).na.fill(0.0, features).cache()
-    folds = sorted(r[0] for r in data.select("fold").distinct().limit(1000).collect()) if folds is None else folds
-    out = None
-    for name in models:
-        for f in folds:
-            train = balanced_weights(data.where(F.col("fold") != f), label, "__weight")
-            test = data.where(F.col("fold") == f)
-            try:
-                make, scaled = MODELS[name]
-                k = train.select(label).distinct().count()
-                raw = "__raw" if scaled else "__x"
-                stages = [StringIndexer(inputCol=label, outputCol="__y", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol=raw)]
-                stages += [StandardScaler(inputCol="__raw", outputCol="__x", withMean=True)] if scaled else []
-                fitted = Pipeline(stages=[*stages, make(len(features), k)]).fit(train)
-                names = F.array(*[F.lit(x) for x in fitted.stages[0].labels])
-                told = fitted.transform(test).withColumn("predicted", F.element_at(names, (F.col("prediction") + 1).cast("int")))
-                row = metrics(told, label).select(F.lit("ok").alias("status"), F.lit("").alias("error"), "n", "accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")
-            except Exception as e:  # noqa: BLE001
-                row = spark.createDataFrame([("failed", str(e)[:200], 0, None, None, None, None)], "status STRING, error STRING, n BIGINT, accuracy DOUBLE, balanced_accuracy DOUBLE, macro_f1 DOUBLE, weighted_f1 DOUBLE")
-            row = row.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), *row.columns)
-            out = row if out is None else out.unionByName(row)
-    return out
+    data = df.where(F.col(label).isNotNull()).na.fill(0.0, features).persist()
+    try:
+        if folds is None:
+            folds = sorted(r[0] for r in data.select("fold").distinct().limit(MAX_FOLDS + 1).collect())
+            if len(folds) > MAX_FOLDS:
+                raise ValueError(f"more than {MAX_FOLDS} folds")
+
+        def split(f: int) -> tuple[DataFrame, DataFrame]:
+            if "is_test" in df.columns:
+                own = data.where(F.col("fold") == f)
+                return own.where("NOT is_test"), own.where("is_test")
+            return data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            jobs = [pool.submit(inheritable_thread_target(spark)(_fold_row), m, f, *split(f), features, label, components) for m in models for f in folds]
+            rows = [j.result() for j in jobs]
+    finally:
+        data.unpersist()
+    return spark.createDataFrame(rows, _ROW)
 
 
 def fold_summary(folds: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matrixloom.functions.numbers import safe_div
 from matrixloom.operators.decompose import cophenetic_correlation, cut_tree, linkage, optimal_assignment
+from matrixloom.operators.factorgrid import matched_similarity
 
 
 def combined_similarity(pairs: DataFrame, activity: DataFrame, weight: float = 0.7) -> DataFrame:
@@ -83,15 +84,15 @@ def assigned_programs(scores: DataFrame, group: str) -> DataFrame:
     return scores.groupBy(group).applyInPandas(run, f"{group} {of}, cluster INT, program STRING, score DOUBLE")
 
 
-def matched_stability(top_genes: DataFrame, left: str, right: str) -> float:
-    """Mean jaccard of the best one-to-one matching of two models' components; a few components of a few genes each.
+def matched_stability(top_genes: DataFrame, left: str, right: str, most: int = 200_000) -> float:
+    """Mean jaccard of the best one-to-one matching of two models' components; more than ``most`` rows raise ValueError.
 
     ``top_genes``: (model, component, gene).
     """
-    rows = top_genes.where(F.col("model").isin(left, right)).limit(200_000).collect()
+    rows = top_genes.where(F.col("model").isin(left, right)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} component genes")
     sets: dict[str, dict[str, set]] = {left: {}, right: {}}
     for r in rows:
         sets[r["model"]].setdefault(r["component"], set()).add(r["gene"])
-    a, b = ([v for _, v in sorted(sets[m].items())] for m in (left, right))
-    s = np.array([[len(x & y) / len(x | y) for y in b] for x in a])
-    return float(np.mean([s[i, j] for i, j in optimal_assignment(s)])) if len(a) and len(b) else float("nan")
+    return matched_similarity(*([v for _, v in sorted(sets[m].items())] for m in (left, right)))

@@ -8,45 +8,68 @@ from pyspark.sql import functions as F
 from matrixloom.operators.stats import empirical_p, z_against
 
 
-def random_sets(genes: DataFrame, sizes: DataFrame, repeats: int, seed: int = 42) -> DataFrame:
-    """(name, repeat, gene): for each (name, size) and repeat that many genes, drawn without replacement.
+#: Sets that are drawn side by side in each repeat at most.
+MAX_DRAWN = 10_000
+
 
-    A gene's place in a draw is the order of a seeded digest, so any engine draws the same sets. All sets of
-    one repeat share the draw's order: a smaller set is the beginning of a larger one. The universe of genes
-    times the repeats is ranked, nothing larger.
+def ranked_draws(genes: DataFrame, repeats: int, seed: int = 42) -> DataFrame:
+    """(repeat, gene, place): the genes in an order of their own in each repeat, that of a seeded digest.
+
+    The first n genes of a repeat are n genes drawn without replacement; any engine draws the same ones. The
+    universe of genes times the repeats is ranked, nothing larger.
     """
     draws = genes.select("gene").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), F.col("gene")))
-    place = F.row_number().over(Window.partitionBy("repeat").orderBy(digest, "gene"))
-    return draws.withColumn("place", place).join(F.broadcast(sizes), F.col("place") <= F.col("size")).select("name", "repeat", "gene")
+    return draws.withColumn("place", F.row_number().over(Window.partitionBy("repeat").orderBy(digest, "gene")))
+
+
+def wanted_sizes(sizes: DataFrame) -> list[tuple[str, int]]:
+    """(name, size) of the sets to draw; programs are a short list, more than MAX_DRAWN raise ValueError."""
+    wanted = sorted((r["name"], r["size"]) for r in sizes.select("name", "size").limit(MAX_DRAWN + 1).collect())
+    if len(wanted) > MAX_DRAWN:
+        raise ValueError(f"more than {MAX_DRAWN} sets to draw")
+    return wanted
+
+
+def random_sets(genes: DataFrame, sizes: DataFrame, repeats: int, seed: int = 42) -> DataFrame:
+    """(name, repeat, gene): for each (name, size) and repeat that many genes of :func:`ranked_draws`.
+
+    All sets of one repeat share the draw's order: a smaller set is the beginning of a larger one.
+    """
+    wanted = wanted_sizes(sizes)
+    ranked = ranked_draws(genes, repeats, seed).where(F.col("place") <= max((n for _, n in wanted), default=0))
+    names = F.array(*[F.when(F.col("place") <= n, F.lit(name)) for name, n in wanted]) if wanted else F.array().cast("array<string>")
+    return ranked.select(F.explode(F.array_compact(names)).alias("name"), "repeat", "gene")
+
+
+def _sizes(bridge: DataFrame) -> list[tuple[str, int]]:
+    return wanted_sizes(bridge.groupBy(F.col("program").alias("name")).agg(F.count("*").alias("size")))
 
 
 def detection_null(bridge: DataFrame, universe: DataFrame, detected: DataFrame, repeats: int, seed: int = 42) -> DataFrame:
     """(condition, program, observed, random_mean, p, z): share of a program's genes detected, against random sets of its size.
 
-    ``detected``: (condition, gene). Hits are counted by joining detections to set members; a set without
-    any detected gene counts as 0.
+    ``detected``: (condition, gene). The sets of a repeat are beginnings of one order, so each detected gene is
+    counted once for all of them; a set without any detected gene counts as 0.
     """
-    sizes = bridge.groupBy(F.col("program").alias("name")).agg(F.count("*").alias("size"))
-    conditions = detected.select("condition").distinct()
+    wanted = _sizes(bridge)
     seen = detected.select("condition", "gene").distinct()
-    observed = _shares(bridge.select(F.col("program").alias("name"), F.lit(-1).alias("repeat"), "gene"), seen, sizes, conditions)
-    drawn = _shares(random_sets(universe, sizes, repeats, seed), seen, sizes, conditions)
-    j = drawn.join(observed.select("condition", "name", F.col("share").alias("observed")), ["condition", "name"])
+    own = bridge.join(seen, "gene").groupBy("condition", F.col("program").alias("name")).agg(F.count("*").alias("hits"))
+    size = bridge.groupBy(F.col("program").alias("name")).agg(F.count("*").alias("size"))
+    every = seen.select("condition").distinct().crossJoin(size)  # every condition x every program is the result
+    observed = every.join(own, ["condition", "name"], "left").select("condition", "name", (F.coalesce("hits", F.lit(0)) / F.col("size")).alias("observed"))
+    draws = ranked_draws(universe, repeats, seed)
+    counted = draws.join(seen, "gene").groupBy("condition", "repeat").agg(*[F.count_if(F.col("place") <= n).alias(f"h{i}") for i, (_, n) in enumerate(wanted)])
+    grid = seen.select("condition").distinct().crossJoin(draws.select("repeat").distinct()).join(counted, ["condition", "repeat"], "left")
+    shares = F.array(*[F.struct(F.lit(name).alias("name"), (F.coalesce(f"h{i}", F.lit(0)) / n).alias("share")) for i, (name, n) in enumerate(wanted)])
+    drawn = grid.select("condition", F.explode(shares).alias("s")).select("condition", "s.*")
+    j = drawn.join(observed, ["condition", "name"])
     return j.groupBy("condition", F.col("name").alias("program")).agg(
-        F.max("observed").alias("observed"), F.avg("share").alias("random_mean"), empirical_p(F.col("observed"), F.col("share")).alias("p"),
+        F.max("observed").alias("observed"), F.avg("share").alias("random_mean"), empirical_p(F.round("observed", 9), F.round("share", 9)).alias("p"),
         z_against(F.col("observed"), F.col("share")).alias("z"),
     )
 
 
-def _shares(sets: DataFrame, seen: DataFrame, sizes: DataFrame, conditions: DataFrame) -> DataFrame:
-    hits = sets.join(seen, "gene").groupBy("condition", "name", "repeat").agg(F.count("*").alias("hits"))
-    every = sets.select("name", "repeat").distinct().join(F.broadcast(conditions))
-    return every.join(hits, ["condition", "name", "repeat"], "left").join(F.broadcast(sizes), "name").select(
-        "condition", "name", "repeat", (F.coalesce("hits", F.lit(0)) / F.col("size")).alias("share")
-    )
-
-
 def abundance_metrics(values: DataFrame, by: list[str], item: str, value: str) -> DataFrame:
     """Per set: mean, maximum, mean of the top three, population variance of its items' values, and the top item."""
     w = Window.partitionBy(*by).orderBy(F.desc(value), item)
@@ -62,10 +85,13 @@ def abundance_null(bridge: DataFrame, universe: DataFrame, abundance: DataFrame,
 
     ``abundance``: (tissue, gene, value). A set's value in a tissue is the mean over its genes that have one.
     """
-    sizes = bridge.groupBy(F.col("program").alias("name")).agg(F.count("*").alias("size"))
-    own = bridge.select(F.col("program").alias("name"), F.lit(-1).alias("repeat"), "gene")
-    sets = own.unionByName(random_sets(universe, sizes, repeats, seed))
-    tissue = sets.join(abundance, "gene").groupBy("name", "repeat", "tissue").agg(F.avg("value").alias("score"))
+    wanted = _sizes(bridge)
+    own = bridge.join(abundance, "gene").groupBy(F.col("program").alias("name"), "tissue").agg(F.avg("value").alias("score")).withColumn("repeat", F.lit(-1))
+    within = lambda n: F.when(F.col("place") <= n, F.col("value"))
+    sums = ranked_draws(universe, repeats, seed).join(abundance, "gene").groupBy("repeat", "tissue").agg(*[F.avg(within(n)).alias(f"s{i}") for i, (_, n) in enumerate(wanted)])
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"s{i}").alias("score")) for i, (name, _) in enumerate(wanted)])
+    drawn = sums.select("repeat", "tissue", F.explode(each).alias("x")).select("repeat", "tissue", "x.*").where("score IS NOT NULL")
+    tissue = own.select("name", "repeat", "tissue", "score").unionByName(drawn.select("name", "repeat", "tissue", "score"))
     m = abundance_metrics(tissue, ["name", "repeat"], "tissue", "score")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in ("mean_value", "max_value", "top3_mean", "var_value")])).alias("k")
     long = m.select("name", "repeat", kinds).select("name", "repeat", "k.metric", "k.v")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matrixloom.functions.numbers import average_rank, log2p, minmax, number, safe_div, zscore
-from matrixloom.functions.small import size_checked
 from matrixloom.functions.text import normalize_name
 
 
@@ -27,6 +26,22 @@ def unpivot_wide(df: DataFrame, key: str, columns: list[str] | None = None, fill
     return out.where("value IS NOT NULL") if fill is None else out.withColumn("value", F.coalesce("value", F.lit(float(fill))))
 
 
+def row_matrix(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(sample_id, values ARRAY<DOUBLE>) of a wide table, repeated rows of a key counted once, with the greatest value of each column.
+
+    null and NaN are 0. Rows with a null key are dropped.
+    """
+    once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("sample_id")).agg(*[F.max(number(F.col(f"`{c}`"))).alias(f"__{i}") for i, c in enumerate(columns)])
+    return once.select("sample_id", F.array(*[F.coalesce(f"__{i}", F.lit(0.0)) for i in range(len(columns))]).alias("values"))
+
+
+def array_moments(rows: DataFrame, genes: list[str]) -> DataFrame:
+    """(gene, n, mean, sd) of a row matrix; sums are combined within each task before they are exchanged."""
+    names = F.array(*[F.lit(g) for g in genes])
+    m = rows.select(F.posexplode("values").alias("i", "v")).groupBy("i").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    return m.select(F.get(names, F.col("i")).alias("gene"), "n", "mean", "sd")
+
+
 def pivot_mean(df: DataFrame, sample: Column, gene: Column, value: Column) -> DataFrame:
     """Cells of a long table: mean of the repeats of a sample and gene. Null keys and values don't count."""
     rows = df.select(sample.alias("sample_id"), gene.alias("gene"), number(value).alias("value"))
@@ -44,7 +59,7 @@ def densify(cells: DataFrame, samples: DataFrame | None = None, genes: DataFrame
     own = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("own"))
     if samples is not None:
         own = samples.select("sample_id").distinct().join(own, "sample_id", "left")
-    rows = own.join(F.broadcast(gene_list)).select("sample_id", "own", F.explode("genes").alias("gene"))
+    rows = own.crossJoin(gene_list).select("sample_id", "own", F.explode("genes").alias("gene"))  # beside one row
     return rows.select("sample_id", "gene", F.coalesce(F.try_element_at("own", F.col("gene")), F.lit(0.0)).alias("value"))
 
 
@@ -72,7 +87,7 @@ def zscores_by_moments(cells: DataFrame, moments: DataFrame | None = None) -> Da
 
     One gene's cells are never gathered in one task, however many samples there are.
     """
-    m = size_checked((gene_moments(cells) if moments is None else moments).select("gene", "mean", "sd"))
+    m = (gene_moments(cells) if moments is None else moments).select("gene", "mean", "sd")
     return cells.join(m, "gene", "left").select(
         *cells.columns, F.coalesce(safe_div(F.col("value") - F.col("mean"), F.nullif(F.round("sd", 12), F.lit(0.0))), F.lit(0.0)).alias("z")
     )

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matrixloom.functions.numbers import average_rank, safe_corr, safe_div
+from matrixloom.functions.numbers import safe_corr, safe_div
+from matrixloom.operators import order
 
 
 def pair_correlations(scores: DataFrame, item: str = "program", sample: str = "sample_id", value: str = "score") -> DataFrame:
@@ -21,7 +22,7 @@ def pair_correlations(scores: DataFrame, item: str = "program", sample: str = "s
     Items are few (programs): each sample's items are gathered in one row and paired there, so the samples
     are shuffled once and not joined to themselves.
     """
-    ranked = scores.where(F.col(value).isNotNull()).withColumn("r", average_rank(F.col(value), [item]))
+    ranked = order.ranks(scores.where(F.col(value).isNotNull()), [item], value, "r")
     own = ranked.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).alias("v"), "r"))).alias("s"))
     pairs = own.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y")).where("x.i < y.i")
     return pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(
@@ -32,7 +33,7 @@ def pair_correlations(scores: DataFrame, item: str = "program", sample: str = "s
 def agreement(left: DataFrame, right: DataFrame, by: list[str], key: str = "sample_id", value: str = "score") -> DataFrame:
     """(by, n, pearson, spearman) of two scores of the same items; null below three common pairs."""
     j = left.select(*by, key, F.col(value).alias("x")).join(right.select(*by, key, F.col(value).alias("y")), [*by, key]).where("x IS NOT NULL AND y IS NOT NULL")
-    r = j.withColumn("rx", average_rank(F.col("x"), by)).withColumn("ry", average_rank(F.col("y"), by))
+    r = order.ranks(order.ranks(j, by, "x", "rx"), by, "y", "ry")
     g = r.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("p"), safe_corr(F.col("rx"), F.col("ry")).alias("s"))
     return g.select(*by, "n", F.when(F.col("n") >= 3, F.col("p")).alias("pearson"), F.when(F.col("n") >= 3, F.col("s")).alias("spearman"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixloom.functions.numbers import safe_div
+from matrixloom.operators import order
 
 
 def group_summary(scores: DataFrame, groups: list[str], program: str = "program", score: str = "score", sample: str = "sample_id", subject: str = "subject_id") -> DataFrame:
@@ -15,18 +16,20 @@ def group_summary(scores: DataFrame, groups: list[str], program: str = "program"
     once per group, not once per program.
     """
     counts = scores.groupBy(*groups).agg(F.count_distinct(sample).alias("n_samples"), F.count_distinct(subject).alias("n_subjects"))
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = scores.where(F.col(score).isNotNull()).groupBy(*groups, program).agg(
-        F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"), q.alias("q")
-    )
-    on = [F.col(f"s.{g}").eqNullSafe(F.col(f"c.{g}")) for g in groups]
-    cond = on[0]
-    for o in on[1:]:
-        cond = cond & o
-    j = stats.alias("s").join(counts.alias("c"), cond)
+    known = scores.where(F.col(score).isNotNull())
+    stats = known.groupBy(*groups, program).agg(F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"))
+    q = order.quantiles(known, [*groups, program], score, [0.25, 0.5, 0.75])
+
+    def same(a: str, b: str, columns: list[str]) -> Column:
+        out = F.lit(True)
+        for g in columns:
+            out = out & F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}"))
+        return out
+
+    j = stats.alias("s").join(counts.alias("c"), same("s", "c", groups)).join(q.alias("q"), same("s", "q", [*groups, program]))
     return j.select(
-        *[F.col(f"s.{g}").alias(g) for g in groups], program, "n_samples", "n_subjects", "mean_score", F.col("q")[1].alias("median_score"),
-        "std_score", F.col("q")[0].alias("q25_score"), F.col("q")[2].alias("q75_score"),
+        *[F.col(f"s.{g}").alias(g) for g in groups], F.col(f"s.{program}").alias(program), "n_samples", "n_subjects", "mean_score", F.col("q1").alias("median_score"),
+        "std_score", F.col("q0").alias("q25_score"), F.col("q2").alias("q75_score"),
     )
 
 
@@ -36,9 +39,9 @@ def variability(scores: DataFrame, groups: list[str], score: str = "score") -> D
     return g.withColumn("variability", F.abs(safe_div(F.col("std_score"), F.nullif("mean_score", F.lit(0.0)))))
 
 
-def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, by: list[str], ordering: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group in a total order."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*ordering))).where(F.col(rank) <= k)
 
 
 def top_two_sided(df: DataFrame, by: list[str], value: str, tie: str, k: int) -> DataFrame:
@@ -85,8 +88,8 @@ def term_frequency(df: DataFrame, cluster: str, items: str, top: int) -> DataFra
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, at_most: int, seed: int = 42) -> DataFrame:
     """At most ``at_most`` rows per stratum, in the order of a seeded digest of the key: the same rows in every run."""
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    return top_k(df, [stratum], [order, F.col(key)], at_most, "pick")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return top_k(df, [stratum], [digest, F.col(key)], at_most, "pick")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
@@ -100,8 +103,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
 
 def robust_range(df: DataFrame, value: str) -> DataFrame:
     """(lo, hi): 2nd and 98th percentile; the extremes where they are equal, widened by 1 where those are; -1, 1 without values."""
-    p = df.where(F.col(value).isNotNull()).agg(F.percentile(value, F.array(F.lit(0.02), F.lit(0.98))).alias("p"), F.min(value).alias("a"), F.max(value).alias("z"))
-    same, flat = F.col("p")[0] == F.col("p")[1], F.col("a") == F.col("z")
-    lo = F.when(F.col("a").isNull(), -1.0).when(~same, F.col("p")[0]).when(~flat, F.col("a")).otherwise(F.col("a") - 1.0)
-    hi = F.when(F.col("a").isNull(), 1.0).when(~same, F.col("p")[1]).when(~flat, F.col("z")).otherwise(F.col("z") + 1.0)
+    known = df.where(F.col(value).isNotNull())
+    p = known.agg(F.min(value).alias("a"), F.max(value).alias("z")).join(order.quantiles(known, [], value, [0.02, 0.98]), F.lit(True), "left")  # one row beside one or none
+    same, flat = F.col("q0") == F.col("q1"), F.col("a") == F.col("z")
+    lo = F.when(F.col("a").isNull(), -1.0).when(~same, F.col("q0")).when(~flat, F.col("a")).otherwise(F.col("a") - 1.0)
+    hi = F.when(F.col("a").isNull(), 1.0).when(~same, F.col("q1")).when(~flat, F.col("z")).otherwise(F.col("z") + 1.0)
     return p.select(lo.alias("lo"), hi.alias("hi"))

@@ -1,10 +1,12 @@
-"""All queries of the core and their SQL."""
+"""All queries of the core and their SQL; the modules register theirs in ``core.QUERIES`` and ``core.SQL``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matrixloom.plans import core, numbered
+from matrixloom.plans import atlas, benchmarks, core, numbered
+
+__all__ = ["atlas", "benchmarks", "flagship", "oracle_sql", "queries"]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

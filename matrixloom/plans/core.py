@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matrixloom.functions import text
 from matrixloom.functions.numbers import rounded
-from matrixloom.operators import classify, consolidate, controls, decompose, genesets, matrix, packed, pseudobulk, scoring, spatial, stats, summarize
+from matrixloom.operators import classify, consolidate, controls, decompose, genesets, matrix, order, packed, pseudobulk, scoring, spatial, stats, summarize
 from matrixloom.operators.wide import clean_symbol
 from matrixloom.plans import numbered
 from matrixloom.plans.tables import EXPRESSION, METADATA, MODULES, PROGRAMS, PROTEOMICS, SCORES, table
@@ -75,8 +75,7 @@ def proteins(spark: SparkSession, folder: str) -> DataFrame:
     best = F.max(F.struct("loaded_at", "run_id", "tissue", "sample_type", "repository", "species", "sample_id", "gene_symbol", "log1p_nsaf", "nsaf", "confidence_score")).alias("b")
     one = p.where("record_id IS NOT NULL").groupBy("record_id").agg(best).select("record_id", "b.*")
     v = F.when(~F.isnan("log1p_nsaf"), F.col("log1p_nsaf"))
-    t = F.initcap(text.normalize_text(F.col("tissue")))
-    return one.select("record_id", "run_id", t.alias("tissue"), "sample_type", "repository", "species", "sample_id", clean_symbol(F.col("gene_symbol")).alias("gene"), v.alias("value"), text.condition_group(F.col("sample_type")).alias("condition")).where(
+    return one.select("record_id", "run_id", text.tissue_name(F.col("tissue")).alias("tissue"), text.stripped(F.col("tissue")).alias("entered"), "sample_type", "repository", "species", "sample_id", clean_symbol(F.col("gene_symbol")).alias("gene"), v.alias("value"), text.condition_group(F.col("sample_type")).alias("condition")).where(
         "gene IS NOT NULL AND tissue IS NOT NULL AND value IS NOT NULL"
     )
 
@@ -106,8 +105,13 @@ _META = f"""meta AS (SELECT sample_id, tissue, tissue_detail, subject_id, sex, a
 _SCORED = f"""one AS (SELECT * FROM {SCORES} WHERE score_type = 'log2_mean' AND sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY tissue DESC NULLS LAST, subject_id DESC NULLS LAST) = 1),
   scored AS ({' UNION ALL '.join(f"SELECT sample_id, tissue, subject_id, '{p}' AS program, CASE WHEN isnan({slug_text(p)}) THEN NULL ELSE {slug_text(p)} END AS score FROM one" for p in PROGRAM_ORDER)})"""
 _WORDS = lambda words: " OR ".join(f"contains(t, '{w}')" for w in words)
+# most tissues are reported with capitals, two under another name
+_TISSUE = lambda c: rf"""(CASE lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')) WHEN 'retina' THEN 'Eye' WHEN 'blood vessels' THEN 'Blood Vessel' WHEN 'blood vessel' THEN 'Blood Vessel' WHEN 'fallopian tube' THEN 'Fallopian Tube'
+  WHEN 'adipose tissue' THEN 'Adipose Tissue' WHEN 'cervix uteri' THEN 'Cervix Uteri' WHEN 'small intestine' THEN 'Small Intestine' ELSE CASE WHEN regexp_full_match(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')),
+  'skin|stomach|colon|kidney|lung|liver|ovary|prostate|breast|tooth|omentum|eye|muscle|heart|brain|nerve|bladder|thyroid|pancreas|uterus|esophagus|spleen|testis|vagina')
+  THEN upper(regexp_replace({c}, '^\s+|\s+$', '', 'g')[1:1]) || lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')[2:]) ELSE regexp_replace({c}, '^\s+|\s+$', '', 'g') END END)"""
 _PROTEINS = rf"""proteins AS (SELECT *, CASE WHEN {_WORDS(text.DISEASE_KEYWORDS)} THEN 'disease_like' WHEN {_WORDS(text.NORMAL_KEYWORDS)} THEN 'normal_like' ELSE 'uncertain' END AS condition FROM (
-  SELECT record_id, run_id, nullif(array_to_string(list_transform(string_split(regexp_replace(lower(regexp_replace(tissue, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), ' '), lambda w: upper(w[1:1]) || w[2:]), ' '), NULL) AS tissue,
+  SELECT record_id, run_id, {_TISSUE('tissue')} AS tissue, regexp_replace(tissue, '^\s+|\s+$', '', 'g') AS entered,
     sample_type, repository, species, sample_id, upper(regexp_replace(gene_symbol, '^[\s\x{{00a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{3000}}\x{{feff}}]+|[\s\x{{00a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{3000}}\x{{feff}}]+$', '', 'g')) AS gene, log1p_nsaf AS value,
     regexp_replace(lower(regexp_replace(coalesce(sample_type, ''), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS t
   FROM (SELECT * FROM {PROTEOMICS} WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC NULLS LAST) = 1))
@@ -188,7 +192,15 @@ def universe_split(spark, folder):
 # programs ---------------------------------------------------------------------------------------------------
 @query(_FIVE)
 def program_scores(spark, folder):
-    return show(scoring.score_programs(cells(spark, folder), bridge(spark, folder)))
+    return show(scores(spark, folder).withColumn("n_genes", F.col("n_genes").cast("bigint")))
+
+
+def scores(spark, folder, methods=scoring.METHODS):
+    """(sample_id, program, n_genes, methods) of the expression matrix, a row at a time."""
+    df = table(spark, folder, EXPRESSION)
+    columns = [c for c in df.columns if c != "sample_id"]
+    rows = Scratch(spark, "rows").save(matrix.row_matrix(df, "sample_id", columns))
+    return scoring.score_rows(rows, [c.upper() for c in columns], bridge(spark, folder), methods=methods)
 
 
 @query(f"""WITH {_CELLS}, {_BRIDGE}, g AS (SELECT DISTINCT gene FROM cells) SELECT program, count(*) AS n_genes, count(g.gene) AS n_available, {r('count(g.gene) / count(*)')} AS fraction,
@@ -266,7 +278,7 @@ def presence_matrix(spark, folder):
     return genesets.presence(modules(spark, folder).select("ecm_program_curated", "feature_set"), "ecm_program_curated", "feature_set", _SETS)
 
 
-_CONF = "CASE trim(confidence) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.CONFIDENCE.items()) + " ELSE 0 END"
+_CONF = "CASE trim(confidence) WHEN 'Very high' THEN 5 WHEN 'High' THEN 4 WHEN 'Moderate-high' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
 
 
 @query(f"""WITH {_MODULES}, lead AS (SELECT * FROM items WHERE item_pos <= 5), first AS (SELECT ecm_program_curated AS program, gene, min((module_id, item_pos)) AS f FROM lead JOIN modules USING (module_id) GROUP BY 1, 2),
@@ -327,10 +339,14 @@ def condition_classify(spark, folder):
 
 @query(f"WITH {_PROTEINS} SELECT coalesce(condition, 'all_samples') AS condition, count(*) AS n, count(DISTINCT gene) AS n_genes, count(DISTINCT run_id) AS n_runs, count(DISTINCT repository) AS n_repositories, {r('avg(value)')} AS mean_value, {r('median(value)')} AS median_value, {r('max(value)')} AS max_value FROM proteins GROUP BY ROLLUP (condition)")
 def condition_grouping_sets(spark, folder):
-    return show(summarize.with_totals(proteins(spark, folder), "condition", "all_samples", [
+    p = proteins(spark, folder)
+    totals = summarize.with_totals(p, "condition", "all_samples", [
         F.count("*").alias("n"), F.count_distinct("gene").alias("n_genes"), F.count_distinct("run_id").alias("n_runs"), F.count_distinct("repository").alias("n_repositories"),
-        F.avg("value").alias("mean_value"), F.median("value").alias("median_value"), F.max("value").alias("max_value"),
-    ]))
+        F.avg("value").alias("mean_value"), F.max("value").alias("max_value"),
+    ])
+    every = p.select("condition", "value").unionByName(p.select(F.lit("all_samples").alias("condition"), "value"))
+    medians = order.quantiles(every, ["condition"], "value", [0.5]).select("condition", F.col("q0").alias("median_value"))
+    return show(totals.join(medians, "condition"))
 
 
 @query(f"WITH {_PROTEINS} SELECT coalesce(condition, 'all_samples') AS condition, tissue, gene, {r('avg(value)')} AS mean_value, {r('max(value)')} AS max_value, count(DISTINCT sample_id) AS n_samples, CAST(count(DISTINCT sample_id) > 0 AS INTEGER) AS present FROM proteins GROUP BY GROUPING SETS ((tissue, gene, condition), (tissue, gene))")
@@ -429,7 +445,7 @@ def all_method_consensus(spark, folder):
 
 
 def _consensus(spark, folder, methods):
-    s = scoring.score_programs(cells(spark, folder), bridge(spark, folder), methods)
+    s = scores(spark, folder, methods)
     t = scoring.tidy_scores(s, methods).join(metadata(spark, folder).select("sample_id", "tissue").where("tissue IS NOT NULL"), "sample_id")
     n = s.select("sample_id", "program", "n_genes")
     per = t.join(n, ["sample_id", "program"]).groupBy("program", "method", F.col("tissue").alias("item")).agg((F.sum(F.col("score") * F.col("n_genes")) / F.sum("n_genes")).alias("score"))
@@ -469,7 +485,7 @@ def program_correlations(spark, folder):
   k AS (SELECT *, rank() OVER (PARTITION BY program ORDER BY round(a, 9)) + (count(*) OVER (PARTITION BY program, round(a, 9)) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY program ORDER BY round(b, 9)) + (count(*) OVER (PARTITION BY program, round(b, 9)) - 1) / 2.0 AS rb FROM s)
   SELECT program, count(*) AS n, {r('corr(round(a, 9), round(b, 9))', 5)} AS pearson, {r('corr(ra, rb)', 5)} AS spearman FROM k GROUP BY 1""")
 def rank_vs_mean_corr(spark, folder):
-    s = scoring.score_programs(cells(spark, folder), bridge(spark, folder), ("mean", "rank_percentile"))
+    s = scores(spark, folder, ("mean", "rank_percentile"))
     a, b = (s.select("program", "sample_id", F.round(m, 9).alias("score")) for m in ("mean", "rank_percentile"))
     return show(stats.agreement(a, b, ["program"]), pearson=5, spearman=5)
 
@@ -509,17 +525,23 @@ def label_agreement(spark, folder):
     return show(stats.label_agreement(metadata(spark, folder), "tissue", "age"))
 
 
-_NULL_N = 100
-_UNIVERSE = "uni AS (SELECT DISTINCT gene FROM bridge), sizes AS (SELECT program AS name, count(*) AS size FROM bridge GROUP BY 1)"
+_NULL_N = 1000
+_UNIVERSE = "uni AS (SELECT gene FROM bridge UNION SELECT gene FROM proteins), sizes AS (SELECT program AS name, count(*) AS size FROM bridge GROUP BY 1)"
 _DRAWS = f"draws AS (SELECT gene, rep, row_number() OVER (PARTITION BY rep ORDER BY md5('42|' || rep || '|' || gene), gene) AS place FROM uni, (SELECT unnest(range({_NULL_N})) AS rep)), sets AS (SELECT name, rep, gene FROM draws JOIN sizes ON place <= size UNION ALL SELECT program, -1, gene FROM bridge)"
 _Z = "CASE WHEN count(v) >= 2 THEN (max(obs) - avg(v)) / nullif(round(stddev_samp(v), 12), 0) END"
 
 
+def _universe(b, p):
+    """Genes to draw from: those of the programs and all that are measured."""
+    return b.select("gene").union(p.select("gene")).distinct()
+
+
 @query(f"""WITH {_PROTEINS}, {_BRIDGE}, {_UNIVERSE}, {_DRAWS}, seen AS (SELECT DISTINCT condition, gene FROM proteins), h AS (SELECT c.condition, s.name, s.rep, count(d.gene) / any_value(size) AS v FROM sets s JOIN sizes USING (name) CROSS JOIN (SELECT DISTINCT condition FROM seen) c LEFT JOIN seen d ON d.condition = c.condition AND d.gene = s.gene GROUP BY 1, 2, 3),
   o AS (SELECT condition, name, v AS obs FROM h WHERE rep = -1) SELECT condition, name AS program, {r('max(obs)')} AS observed, {r('avg(v)')} AS random_mean, {r('(count_if(round(v, 9) >= round(obs, 9)) + 1) / (count(*) + 1)')} AS p, {r(_Z, 4)} AS z FROM h JOIN o USING (condition, name) WHERE rep >= 0 GROUP BY 1, 2""")
 def detection_null(spark, folder):
     b = bridge(spark, folder)
-    n = controls.detection_null(b, b.select("gene").distinct(), proteins(spark, folder).select("condition", "gene"), _NULL_N)
+    p = proteins(spark, folder)
+    n = controls.detection_null(b, _universe(b, p), p.select("condition", "gene"), _NULL_N)
     return show(n, z=4)
 
 
@@ -531,7 +553,7 @@ _ABUND = f"""WITH {_PROTEINS}, {_BRIDGE}, {_UNIVERSE}, {_DRAWS}, ab AS (SELECT t
 def abundance_null(spark, folder):
     b = bridge(spark, folder)
     ab = proteins(spark, folder).groupBy("tissue", "gene").agg(F.avg("value").alias("value"))
-    return show(controls.abundance_null(b, b.select("gene").distinct(), ab, _NULL_N), z=4)
+    return show(controls.abundance_null(b, _universe(b, proteins(spark, folder)), ab, _NULL_N), z=4)
 
 
 @query(f"""{_ABUND}, p AS (SELECT x.name AS program, x.metric, (count_if(x.v >= o.v) + 1) / (count(*) + 1) AS p FROM l x JOIN l o ON x.name = o.name AND x.metric = o.metric AND o.rep = -1 WHERE x.rep >= 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY p, program || '|' || metric) AS rn, count(*) OVER () AS n FROM p)
@@ -539,7 +561,7 @@ def abundance_null(spark, folder):
 def bh_fdr(spark, folder):
     b = bridge(spark, folder)
     ab = proteins(spark, folder).groupBy("tissue", "gene").agg(F.avg("value").alias("value"))
-    n = controls.abundance_null(b, b.select("gene").distinct(), ab, _NULL_N).withColumn("key", F.concat_ws("|", "program", "metric"))
+    n = controls.abundance_null(b, _universe(b, proteins(spark, folder)), ab, _NULL_N).withColumn("key", F.concat_ws("|", "program", "metric"))
     return show(stats.benjamini_hochberg(n, "p", "key").select("program", "metric", "p", "p_adjusted"))
 
 
@@ -739,10 +761,10 @@ def stream_scores(spark, folder):
     path = f"{folder}/{EXPRESSION}.parquet"
     genes = [c for c in table(spark, folder, EXPRESSION).columns if c != "sample_id"]
     static = Scratch(spark, "stream")
-    moments = static.save(matrix.gene_moments(cells(spark, folder)))
+    moments = matrix.array_moments(matrix.row_matrix(table(spark, folder, EXPRESSION), "sample_id", genes), [g.upper() for g in genes])
     out = f"{static.at}/scores"
     stream = scorer.open_table_stream(spark, path).where("sample_id IS NOT NULL")
-    scored_ = scorer.score_stream(stream, "sample_id", genes, static.save(bridge(spark, folder)), moments)
+    scored_ = scorer.score_stream(stream, "sample_id", genes, bridge(spark, folder), moments)
     scorer.run_once(scored_, out)
     return show(spark.read.parquet(f"{out}/rows").dropDuplicates(["sample_id", "program"]))
 

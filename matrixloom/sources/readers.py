@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import io
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matrixloom.functions.numbers import number
+from matrixloom.functions.text import normalize_symbol
 from matrixloom.schema import require_columns
 
 # Columns of a headerless spot position file.
@@ -130,3 +132,74 @@ def profile(df: DataFrame) -> DataFrame:
             F.approx_count_distinct(text).alias("n_distinct"), F.min(text).alias("lo"), F.max(text).alias("hi"),
         ))
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+@dataclasses.dataclass(frozen=True)
+class DatasetConfig:
+    """Where a data set's matrix is: a wide table of samples, a long one if gene and value columns are named, or genes by samples.
+
+    ``mapper`` names the label rules of its samples; ``one_of`` and ``latest`` reduce repeated records to the latest.
+    """
+
+    name: str
+    path: str
+    sample: str
+    gene: str | None = None
+    value: str | None = None
+    mapper: str | None = None
+    genes_as_rows: bool = False
+    where: str | None = None
+    one_of: str | None = None
+    latest: str | None = None
+
+
+def load_dataset(spark: SparkSession, config: DatasetConfig) -> DataFrame:
+    """(sample_id, gene, value) of a configured data set, repeated cells as their mean; missing columns raise ValueError."""
+    from matrixloom.operators import matrix
+
+    df = read_table(spark, config.path)
+    require_columns(df, [c for c in (config.sample, config.gene, config.value, config.one_of, config.latest) if c], config.name)
+    df = df.where(config.where) if config.where else df
+    if config.genes_as_rows:
+        return gene_rows(df, config.sample)
+    if config.gene is None:
+        return matrix.unpivot_wide(df, config.sample)
+    if config.one_of:
+        best = F.max(F.struct(config.latest, config.sample, config.gene, config.value)).alias("b")
+        df = df.groupBy(config.one_of).agg(best).select("b.*")
+    return matrix.pivot_mean(df, F.col(config.sample), normalize_symbol(F.col(config.gene)), F.col(config.value))
+
+
+def gene_rows(df: DataFrame, symbol: str, samples: list[str] | None = None) -> DataFrame:
+    """(sample_id, gene, value) of a table with one row per gene and one column per sample; repeated symbols as their mean.
+
+    Only the columns of ``samples`` are read if they are named; null cells don't count.
+    """
+    require_columns(df, [symbol, *(samples or [])], "expression")
+    names = [c for c in df.columns if c != symbol and dict(df.dtypes)[c] in ("double", "float", "int", "bigint")] if samples is None else samples
+    gene = normalize_symbol(F.col(f"`{symbol}`"))
+    once = df.select(gene.alias("gene"), *[number(F.col(f"`{c}`")).alias(f"__{i}") for i, c in enumerate(names)]).where("gene IS NOT NULL")
+    mean = once.groupBy("gene").agg(*[F.avg(f"__{i}").alias(f"__{i}") for i in range(len(names))])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("sample_id"), F.col(f"__{i}").alias("value")) for i, c in enumerate(names)])).alias("c")
+    return mean.select("gene", cells).select("c.sample_id", "gene", "c.value").where("value IS NOT NULL")
+
+
+def inspect(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, found, n_rows, n_columns, error) of each path; what can't be read is told, not raised."""
+    rows = []
+    for name, path in paths.items():
+        try:
+            df = read_table(spark, path)
+            rows.append((name, True, df.count(), len(df.columns), None))
+        except Exception as e:  # noqa: BLE001
+            rows.append((name, False, None, None, str(e)[:200]))
+    return spark.createDataFrame(rows, "name STRING, found BOOLEAN, n_rows BIGINT, n_columns INT, error STRING")
+
+
+def component_genes(weights: DataFrame, first: int) -> DataFrame:
+    """(model, component, genes): the genes of rank 1 to ``first`` of each component, by weight and name."""
+    from matrixloom.operators.summarize import top_k
+
+    require_columns(weights, ["model", "component", "gene", "weight"], "component table")
+    top = top_k(weights, ["model", "component"], [F.desc("weight"), F.col("gene")], first)
+    return top.groupBy("model", "component").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "gene"))), lambda x: x["gene"]).alias("genes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrixloom.operators.matrix import gene_zscores, log_transformed
+from matrixloom.operators.matrix import log_transformed, zscores_by_moments
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite", compressed: bool = False) -> None:
@@ -29,7 +29,7 @@ def write_matrix_outputs(cells: DataFrame, folder: str, annotation: DataFrame |
     write_table(cells, f"{folder}/raw")
     logged = log_transformed(cells)
     write_table(logged, f"{folder}/log2")
-    write_table(gene_zscores(logged), f"{folder}/zscore")
+    write_table(zscores_by_moments(logged), f"{folder}/zscore")
     summary = cells.agg(F.count_distinct("sample_id").alias("n_samples"), F.count_distinct("gene").alias("n_genes"))
     if annotation is not None:
         have = cells.select("gene").distinct()

@@ -5,27 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrixloom.functions.numbers import number, safe_div
+from matrixloom.functions.numbers import number
+from matrixloom.operators.scoring import row_scorer
 
 
 def score_stream(stream: DataFrame, key: str, genes: list[str], bridge: DataFrame, moments: DataFrame) -> DataFrame:
     """(sample_id, program, n_genes, mean, zscore_mean) of every arriving wide row; missing values are 0.
 
-    Gene moments and programs are static; a sample is complete in its row, so its scores need no state: the
-    programs' genes are gathered per program beforehand and each row is scored by array functions.
+    Gene moments and programs are static; a sample is complete in its row, so its scores need no state.
     """
-    at = bridge.sparkSession.createDataFrame([(g.upper(), i) for i, g in enumerate(genes)], "gene STRING, i INT")
-    sd = F.nullif(F.round("sd", 12), F.lit(0.0))
-    p = bridge.join(moments, "gene").join(F.broadcast(at), "gene").groupBy("program").agg(
-        F.collect_list(F.struct("i", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce(safe_div(F.lit(1.0), sd), F.lit(0.0)).alias("scale"))).alias("parts")
-    )
-    values = F.array(*[F.coalesce(number(F.col(f"`{g}`")), F.lit(0.0)) for g in genes])
-    # programs are a fixed short list, so each row meets all of them by a broadcast
-    j = stream.select(F.col(key).alias("sample_id"), values.alias("v")).join(F.broadcast(p))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("z"))
-    sums = F.aggregate("parts", start, lambda a, x: F.struct((a["s"] + F.get("v", x["i"])).alias("s"), (a["z"] + (F.get("v", x["i"]) - x["mean"]) * x["scale"]).alias("z")))
-    out = j.select("sample_id", "program", F.size("parts").alias("n_genes"), sums.alias("t"))
-    return out.select("sample_id", "program", "n_genes", (F.col("t.s") / F.col("n_genes")).alias("mean"), (F.col("t.z") / F.col("n_genes")).alias("zscore_mean"))
+    run, schema = row_scorer([g.upper() for g in genes], bridge, moments, ("mean", "zscore_mean"))
+    values = F.array(*[F.coalesce(number(F.col(f"`{g}`")), F.lit(0.0)) for g in genes]).alias("values")
+    return stream.select(F.col(key).cast("string").alias("sample_id"), values).mapInArrow(run, schema)
 
 
 def run_once(stream: DataFrame, folder: str) -> None:

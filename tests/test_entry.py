@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from matrixloom.plans import catalogue
 
 
 def test_contract(spark):
@@ -33,10 +34,7 @@ def plain(v):
     return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
 
-QUICK = ["p2_found", "p5_found", "program_scores", "matrix_mean_long", "fourway_matrix", "best_match", "group_summary", "top_samples_per_program", "detection_null", "pseudobulk_counts", "cv_metrics", "program_rollup", "stream_scores"]
-
-
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, folder, name):
     con = duckdb.connect()
     for f in glob.glob(f"{folder}/*.parquet"):
