@@ -157,7 +157,9 @@ def benchmark(
         return pd.DataFrame(out, columns=["dataset", "feature_set", "n_genes", "repeat", "metric", "value"])
 
     members = own.unionByName(drawn).join(vectors, ["dataset", "gene"])
-    return members.groupBy("dataset", "run").applyInPandas(figures, "dataset STRING, feature_set STRING, n_genes INT, repeat INT, metric STRING, value DOUBLE")
+    # few bytes but much work: over a fixed number of tasks, which Spark doesn't merge by their size
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(tasks, "dataset", "run").groupBy("dataset", "run").applyInPandas(figures, "dataset STRING, feature_set STRING, n_genes INT, repeat INT, metric STRING, value DOUBLE")
 
 
 def compared(results: DataFrame) -> DataFrame:

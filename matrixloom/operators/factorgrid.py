@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from matrixloom.operators.decompose import cophenetic_correlation, linkage, optimal_assignment
 from matrixloom.operators.genesets import overlaps
 
-#: Samples and genes of a matrix at most.
-MAX_SIDE = 5000
+#: Samples and genes of a matrix, and samples of all feature sets, at most.
+MAX_SIDE, MAX_NAMES = 5000, 200_000
 
 
 def fit(v: np.ndarray, k: int, seed: int, max_iter: int = 3000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int]:
@@ -47,15 +47,21 @@ def grid(values: DataFrame, ks: list[int], seeds: int, top: int = 30, top_sample
     ``values``: (feature_set, sample_id, gene, value), complete. Each gene is scaled to 0..1. Ranks that a matrix
     is too small for are left out.
     """
-    vectors = values.groupBy("feature_set", "gene").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value"))).alias("s"))
+    rows = values.select("feature_set", "sample_id").distinct().limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} samples; those of a factor grid are aggregates")
+    names: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        names.setdefault(r.feature_set, []).append(r.sample_id)
+    ordered = F.sort_array(F.collect_list(F.struct("sample_id", "value")))
+    vectors = values.groupBy("feature_set", "gene").agg(F.transform(ordered, lambda x: x["value"]).alias("v"))
     runs = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-    spread = vectors.select("feature_set", "gene", "s", runs).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
+    spread = vectors.select("feature_set", "gene", "v", runs).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         name, k, seed = key
         pdf = pdf.sort_values("gene")
-        samples = [x["sample_id"] for x in pdf["s"].iloc[0]]
-        v = np.array([[x["value"] for x in s] for s in pdf["s"]]).T
+        samples, v = names[name], np.stack(pdf["v"].to_numpy()).T
         if max(v.shape) > MAX_SIDE:
             raise ValueError(f"{name} has a matrix of {v.shape}; a factorisation in one task takes at most {MAX_SIDE} a side")
         columns = ["feature_set", "k", "seed", "n_samples", "n_genes", "error", "iterations", "sparsity", "genes", "samples", "component_of"]
@@ -74,7 +80,12 @@ def grid(values: DataFrame, ks: list[int], seeds: int, top: int = 30, top_sample
         return pd.DataFrame([row], columns=columns)
 
     schema = "feature_set STRING, k INT, seed INT, n_samples INT, n_genes INT, error DOUBLE, iterations INT, sparsity DOUBLE, genes ARRAY<ARRAY<STRING>>, samples ARRAY<ARRAY<STRING>>, component_of ARRAY<INT>"
-    return spread.groupBy("feature_set", "k", "seed").applyInPandas(run, schema)
+    return _spread(spread, ["feature_set", "k", "seed"]).groupBy("feature_set", "k", "seed").applyInPandas(run, schema)
+
+
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Few bytes but much work: over a fixed number of tasks, which Spark doesn't merge by their size."""
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def matched_similarity(a: list[set], b: list[set]) -> float:
@@ -107,7 +118,8 @@ def stability(runs: DataFrame) -> DataFrame:
         return pd.DataFrame([row], columns=["feature_set", "k", "n_seeds", "mean_error", "std_error", "mean_sparsity", "mean_stability", "std_stability", "cophenetic"])
 
     schema = "feature_set STRING, k INT, n_seeds INT, mean_error DOUBLE, std_error DOUBLE, mean_sparsity DOUBLE, mean_stability DOUBLE, std_stability DOUBLE, cophenetic DOUBLE"
-    return runs.select("feature_set", "k", "seed", "error", "sparsity", "genes", "component_of").groupBy("feature_set", "k").applyInPandas(one, schema)
+    own = runs.select("feature_set", "k", "seed", "error", "sparsity", "genes", "component_of")
+    return _spread(own, ["feature_set", "k"]).groupBy("feature_set", "k").applyInPandas(one, schema)
 
 
 def recovery(runs: DataFrame, bridge: DataFrame, min_common: int = 4, min_overlap: float = 0.13) -> DataFrame:

@@ -16,10 +16,10 @@ from matrixloom.session import Scratch
 
 # gene sets against random ones ------------------------------------------------------------------------------
 def core_sets(spark, folder):
-    """(feature_set, gene): the genes that at least half of the data sets list for a program."""
+    """(feature_set, gene): the genes that at least a fifth of the data sets with a list for a program have on it."""
     p = table(spark, folder, PROGRAMS).where("ecm_program IS NOT NULL AND dataset IS NOT NULL")
     lists = p.select("dataset", F.col("ecm_program").alias("feature_set"), F.explode(packed.packed_items(F.col("program_genes"))).alias("g"))
-    return benchmark.core_genes(lists.select("dataset", "feature_set", text.normalize_name(F.col("g")).alias("gene")))
+    return benchmark.core_genes(lists.select("dataset", "feature_set", text.normalize_name(F.col("g")).alias("gene")), 0.2)
 
 
 def _proteome(spark, folder, conditions: bool):
@@ -91,23 +91,23 @@ def cross_dataset_table(spark, folder):
 
 
 # factorisations ---------------------------------------------------------------------------------------------
-#: Ranks and seeds of the grid.
-RANKS, SEEDS = list(range(2, 13)), 30
+#: Ranks and seeds of the grid, genes that stand for a component, and genes of a set at least.
+RANKS, SEEDS, TOP, LEAST = list(range(2, 11)), 30, 8, 20
 
 
 def _tissue_values(spark, folder):
-    """(feature_set, sample_id, gene, value): detailed tissues by the genes of each program that has at least 12 there, and by all genes."""
+    """(feature_set, sample_id, gene, value): detailed tissues by the genes of each program that has at least LEAST there, and by all genes."""
     m = metadata(spark, folder).where("tissue_detail IS NOT NULL").select("sample_id", "tissue_detail")
     mean = cells(spark, folder).join(m, "sample_id").groupBy(F.col("tissue_detail").alias("sample_id"), "gene").agg(F.avg("value").alias("value"))
     genes = mean.select("gene").distinct()
     b = bridge(spark, folder).join(genes, "gene", "left_semi").select(F.col("program").alias("feature_set"), "gene")
     sets = b.unionByName(genes.select(F.lit("all").alias("feature_set"), "gene"))
-    big = sets.groupBy("feature_set").agg(F.count("*").alias("n")).where("n >= 12").select("feature_set")
+    big = sets.groupBy("feature_set").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("feature_set")
     return mean.join(sets.join(big, "feature_set", "left_semi"), "gene").select("feature_set", "sample_id", "gene", "value")
 
 
 def _grid(spark, folder):
-    return Scratch(spark, "grid").save(factorgrid.grid(_tissue_values(spark, folder), RANKS, SEEDS))
+    return Scratch(spark, "grid").save(factorgrid.grid(_tissue_values(spark, folder), RANKS, SEEDS, TOP))
 
 
 @query()
