@@ -166,7 +166,7 @@ def p7_conservation(spark: SparkSession, folder: str) -> DataFrame:
     )
     full = rows.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("tokens"))
     return docs.agg(
-        F.count("*").alias("documents"), F.count_if("tokens = 0 AND placed = 0").alias("empty"), F.count_if("end <> tokens OR (tokens > 0 AND placed <> pieces)").alias("with_gaps"),
+        F.count("*").alias("documents"), F.count_if(F.expr("tokens = 0 AND placed = 0")).alias("empty"), F.count_if(F.expr("end <> tokens OR (tokens > 0 AND placed <> pieces)")).alias("with_gaps"),
         F.count_if(F.col("pieces") > F.greatest(F.ceil(F.col("tokens") / packing.CAPACITY), F.lit(1))).alias("cut_though_fitting"),
     ).crossJoin(full.agg(F.count_if(F.col("tokens") > packing.CAPACITY).alias("too_full")))  # one row beside one row
 
@@ -260,6 +260,20 @@ def oracle_sql() -> dict[str, str]:
         "p8_found": f"""WITH d AS ({grams('doc_id', 'text', 'documents')}), i AS ({grams('item_id', 'item_text', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)""",
         "p9_found": f"""WITH c AS (SELECT doc_id, md5(text) AS w, md5({read}) AS r FROM documents WHERE text IS NOT NULL)
             SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.r = b.r AND a.w <> b.w AND a.doc_id < b.doc_id""",
+        "p4_class_pairs": f"""WITH {sets}, cls AS (SELECT feature_set AS grp, md5(array_to_string(list_transform(items, lambda x: len(x) || ':' || x), '')) AS cls, any_value(items) AS items FROM sets GROUP BY 1, 2),
+            p AS (SELECT a.grp, a.cls AS set_a, b.cls AS set_b, len(list_intersect(a.items, b.items)) AS common, len(a.items) AS na, len(b.items) AS nb FROM cls a JOIN cls b ON a.grp = b.grp AND a.cls < b.cls)
+            SELECT grp, set_a, set_b, CAST(common AS INTEGER) AS common, round(common / (na + nb - common), 6) AS overlap FROM p WHERE 3 * common >= na + nb""",
+        "p4_links": f"""WITH {sets}, {pairs}, l AS (SELECT a AS m FROM pairs WHERE 3 * c >= na + nb UNION ALL SELECT b FROM pairs WHERE 3 * c >= na + nb), n AS (SELECT m, count(*) AS k FROM l GROUP BY 1)
+            SELECT module_id, feature_set, md5(array_to_string(list_transform(items, lambda x: len(x) || ':' || x), '')) AS set_id, coalesce(k, 0) AS n_links FROM sets LEFT JOIN n ON m = module_id""",
+        "p1_found": f"""WITH RECURSIVE rows AS (SELECT DISTINCT * FROM {EXPRESSION} WHERE sample_id IS NOT NULL),
+            x AS (SELECT sample_id, gene, v FROM (UNPIVOT rows ON COLUMNS(* EXCLUDE (sample_id)) INTO NAME gene VALUE v) WHERE NOT isnan(v)),
+            alike AS (SELECT a.sample_id AS a, b.sample_id AS b FROM x a JOIN x b ON a.gene = b.gene AND a.sample_id < b.sample_id GROUP BY 1, 2 HAVING count(*) >= 3 AND corr(a.v, b.v) >= {ALIKE}),
+            edges AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike), reach AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM edges) UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+            SELECT min(b) AS cluster_id, a AS sample_id FROM reach GROUP BY a""",
+        "p8_leaked_items": f"""WITH d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram FROM (SELECT doc_id, regexp_extract_all(lower({read}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)),
+            w AS (SELECT item_id, regexp_extract_all(lower({_reading_sql('item_text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items), i AS (SELECT item_id, unnest(range(1, len(w) - 10)) AS pos, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram FROM w),
+            m AS (SELECT DISTINCT doc_id, item_id, pos FROM d JOIN i USING (gram)), c AS (SELECT doc_id, item_id, count(DISTINCT p) AS covered FROM (SELECT doc_id, item_id, unnest(range(pos, pos + 12)) AS p FROM m) GROUP BY 1, 2)
+            SELECT item_id, count(*) AS n_documents, round(max(covered / len(w)), 6) AS coverage FROM c JOIN w USING (item_id) GROUP BY 1""",
         "p9_classes": f"""WITH c AS (SELECT doc_id, md5(text) AS w, md5({read}) AS r FROM documents WHERE text IS NOT NULL), s AS (SELECT r, w, count(*) AS copies FROM c GROUP BY 1, 2),
             k AS (SELECT c.r, min(doc_id) AS class_id, count(DISTINCT w) AS n_strings, count(*) AS texts FROM c GROUP BY 1 HAVING count(DISTINCT w) > 1)
             SELECT doc_id, class_id, n_strings, CAST(texts - copies AS BIGINT) AS n_links FROM c JOIN k USING (r) JOIN s USING (r, w)""",
