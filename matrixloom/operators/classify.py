@@ -101,7 +101,7 @@ def _fold_row(name: str, fold: int, train: DataFrame, test: DataFrame, features:
 
 
 def cross_validate(
-    df: DataFrame, features: list[str], label: str, models: list[str], folds: list[int] | None = None, components: int | None = None, parallelism: int = 4
+    df: DataFrame, features: list[str], label: str, models: list[str], folds: list[int] | None = None, components: int | None = None, parallelism: int = 8
 ) -> DataFrame:
     """One row per model and fold: status, error, sizes and the metrics on the fold.
 

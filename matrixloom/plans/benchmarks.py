@@ -199,4 +199,4 @@ def representation_table(spark, folder):
 @query()
 def representation_failures(spark, folder):
     """Failed runs by model, family and error."""
-    return representation.failed_runs(_representations(spark, folder, ("logistic", "no_such_model")))
+    return representation.failed_runs(_representations(spark, folder, ("no_such_model",)))
