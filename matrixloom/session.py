@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -46,13 +47,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return at
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001
+        pass  # the session has ended before
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut the lineage and outlive a lost executor."""
+    """Tables written to the shared folder: they cut the lineage and outlive a lost executor.
+
+    Results read them, so they stay until the driver's Python ends and are deleted then, if the session still runs.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        atexit.register(_delete_at_exit, spark, self.at)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the written table; the shuffle files of the step are deleted with its end."""
@@ -73,6 +91,4 @@ class Scratch:
         """Delete a table saved here that nothing reads any more; tables derived from one are not touched."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
