@@ -40,7 +40,11 @@ def packed_items(text: Column, delimiters: str = DELIMITERS) -> Column:
     body = trim(F.coalesce(text, F.lit("")))
     body = F.when(body.rlike(r"(?s)^\[.*\]$|^\{.*\}$"), body.substr(F.lit(2), F.length(body) - 2)).otherwise(body)
     body = F.replace(body, F.lit(MARK), F.lit(MARK + "s"))
-    state = F.struct(F.split(body, span, -1).alias("pieces"), F.regexp_extract_all(body, F.lit(span), F.lit(1)).alias("spans"))
+    # without a quote mark there is no span to look for
+    any_quote = body.contains('"') | body.contains("'")
+    pieces = F.when(any_quote, F.split(body, span, -1)).otherwise(F.array(body))
+    spans = F.when(any_quote, F.regexp_extract_all(body, F.lit(span), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    state = F.struct(pieces.alias("pieces"), spans.alias("spans"))
 
     def unmark(c: Column) -> Column:
         return F.replace(c, F.lit(MARK + "s"), F.lit(MARK))
