@@ -34,17 +34,20 @@ def packed_items(text: Column, delimiters: str = DELIMITERS) -> Column:
     # possessive groups: Java matches them in a loop, not by recursion, so long texts are safe
     quoted = "\"[^\"]*+(?:\"\"[^\"]*+)*+\"|'[^']*+(?:''[^']*+)*+'"
     blank = r"[ \u00a0\u2000-\u200b\u202f\u3000\ufeff]*+"
-    span = f"(?<=^|{d}){blank}({quoted}){blank}(?=$|{d})"
+    # most characters are neither blank nor quote mark: they are passed by before the delimiter behind is looked for
+    span = f"(?=[\"' \u00a0\u2000-\u200b\u202f\u3000\ufeff])(?<=^|{d}){blank}({quoted}){blank}(?=$|{d})"
     trim = lambda c: F.trim(c, F.lit(BLANKS))
 
     body = trim(F.coalesce(text, F.lit("")))
     body = F.when(body.rlike(r"(?s)^\[.*\]$|^\{.*\}$"), body.substr(F.lit(2), F.length(body) - 2)).otherwise(body)
     body = F.replace(body, F.lit(MARK), F.lit(MARK + "s"))
-    # without a quote mark there is no span to look for
-    any_quote = body.contains('"') | body.contains("'")
-    pieces = F.when(any_quote, F.split(body, span, -1)).otherwise(F.array(body))
-    spans = F.when(any_quote, F.regexp_extract_all(body, F.lit(span), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    state = F.struct(pieces.alias("pieces"), spans.alias("spans"))
+
+    def state(b: Column) -> Column:
+        # without a quote mark there is no span to look for
+        any_quote = b.contains('"') | b.contains("'")
+        pieces = F.when(any_quote, F.split(b, span, -1)).otherwise(F.array(b))
+        spans = F.when(any_quote, F.regexp_extract_all(b, F.lit(span), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        return F.struct(pieces.alias("pieces"), spans.alias("spans"))
 
     def unmark(c: Column) -> Column:
         return F.replace(c, F.lit(MARK + "s"), F.lit(MARK))
@@ -65,8 +68,8 @@ def packed_items(text: Column, delimiters: str = DELIMITERS) -> Column:
 
         return F.filter(F.transform(F.transform(F.split(masked, d, -1), trim), restore), lambda x: x != "")
 
-    # the struct is bound once: pieces and spans are not computed again for each item
-    return F.flatten(F.transform(F.array(state), items))
+    # body and struct are bound once: they are not computed again for each use
+    return F.flatten(F.transform(F.transform(F.array(body), state), items))
 
 
 def explode_packed(df: DataFrame, keys: list[str], column: str, pos: str = "item_pos", item: str = "item", delimiters: str = DELIMITERS) -> DataFrame:

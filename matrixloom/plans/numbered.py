@@ -13,6 +13,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row per item of top_genes, program_genes and reference_modules, with its position."""
     modules = packed.one_list_per_key(table(spark, folder, MODULES), "module_id", ["top_genes"], latest="loaded_at")
     programs = packed.one_list_per_key(table(spark, folder, PROGRAMS), "program_id", ["program_genes", "reference_modules"])
+    # the texts are few megabytes but costly to split, so they are spread over as many tasks as there are
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    modules, programs = modules.repartition(tasks, F.xxhash64("module_id")), programs.repartition(tasks, F.xxhash64("program_id"))
     out = None
     for df, name, key, column in ((modules, MODULES, "module_id", "top_genes"), (programs, PROGRAMS, "program_id", "program_genes"), (programs, PROGRAMS, "program_id", "reference_modules")):
         part = packed.explode_packed(df, [key], column).select(
