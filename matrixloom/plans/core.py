@@ -513,7 +513,8 @@ def knn_same_label(spark, folder):
     return show(stats.same_label_share(n, 5))
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS l, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL), d AS (SELECT a.vec_id AS k, a.l, b.l AS o, sum(list_distance(a.v, b.v)) AS t, count(*) AS c FROM e a CROSS JOIN e b GROUP BY 1, 2, 3),
+  p AS (SELECT k, l, max(CASE WHEN l = o AND c > 1 THEN t / (c - 1) END) AS a, min(CASE WHEN l <> o THEN t / c END) AS b FROM d GROUP BY 1, 2) SELECT count(*) AS n, count(DISTINCT l) AS labels, {r('avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END)')} AS silhouette FROM p""")
 def silhouette(spark, folder):
     return show(stats.silhouette(table(spark, folder, "embeddings"), "vec_id", "embedding", "label"))
 
