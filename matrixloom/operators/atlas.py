@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matrixloom.functions.numbers import rounded
 from matrixloom.functions.text import normalize_symbol, stripped
 from matrixloom.operators import order
 from matrixloom.operators.summarize import top_k
@@ -108,7 +109,7 @@ def supported(summary: DataFrame, least: dict[str, int] = ROBUST) -> DataFrame:
 def source_report(consensus: DataFrame, first: int = 5, overall: int = 8) -> DataFrame:
     """Per program: items, items on which methods agree, the first of these, and the first overall with their best score."""
     place = F.row_number().over(Window.partitionBy("program").orderBy(F.desc("consensus"), "best_rank", F.desc(F.round("max_score", 9)), "item"))
-    told = F.concat(F.col("item"), F.format_string(" (%.2f)", F.round("max_score", 6)))
+    told = F.concat(F.col("item"), F.format_string(" (%.2f)", rounded(F.col("max_score"), 2)))
     listed = lambda c, of: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("place", of.alias("t"))))), lambda x: x["t"]), "; ")
     return consensus.withColumn("place", place).groupBy("program").agg(
         F.count("*").alias("n_items"), F.count_if("consensus").alias("n_consensus"), listed(F.col("consensus") & (F.col("place") <= first), F.col("item")).alias("consensus_items"),
@@ -183,4 +184,4 @@ def pivoted(df: DataFrame, row: str | list[str], column: str, value: str, column
 
 def starred(value: Column, p: Column, digits: int = 2, level: float = 0.05) -> Column:
     """A figure as text, with a star where its p-value is below ``level``."""
-    return F.concat(F.format_string(f"%.{digits}f", value), F.when(p < level, "*").otherwise(""))
+    return F.concat(F.format_string(f"%.{digits}f", rounded(value, digits)), F.when(p < level, "*").otherwise(""))

@@ -243,7 +243,7 @@ def organ_celltypes(spark, folder):
     return show(summarize.top_k(g, ["program"], [F.desc(F.round("mean_score", 9)), F.col("source")], 30).select("program", "source", "mean_score", "rank"))
 
 
-@query(f"WITH c AS ({SQL['cross_method_consensus']}), k AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY consensus DESC, best_rank, round(max_score, 6) DESC, item) AS place FROM c) SELECT program, count(*) AS n_items, CAST(count_if(consensus) AS BIGINT) AS n_consensus, coalesce(string_agg(CASE WHEN consensus AND place <= 5 THEN item END, '; ' ORDER BY place), '') AS consensus_items, string_agg(CASE WHEN place <= 8 THEN printf('%s (%.2f)', item, max_score) END, '; ' ORDER BY place) AS top_items FROM k GROUP BY 1")
+@query(f"WITH c AS ({SQL['cross_method_consensus']}), k AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY consensus DESC, best_rank, round(max_score, 6) DESC, item) AS place FROM c) SELECT program, count(*) AS n_items, CAST(count_if(consensus) AS BIGINT) AS n_consensus, coalesce(string_agg(CASE WHEN consensus AND place <= 5 THEN item END, '; ' ORDER BY place), '') AS consensus_items, string_agg(CASE WHEN place <= 8 THEN printf('%s (%.2f)', item, {r('max_score', 2)}) END, '; ' ORDER BY place) AS top_items FROM k GROUP BY 1")
 def source_report(spark, folder):
     return atlas.source_report(core.cross_method_consensus(spark, folder))
 

@@ -8,6 +8,7 @@ import os
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
@@ -27,7 +28,7 @@ def test_core_does_not_import_llm():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     if hasattr(v, "item"):
         v = v.item()
