@@ -7,13 +7,14 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from matrixloom.llm import queries
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     if hasattr(v, "item"):
         v = v.item()
