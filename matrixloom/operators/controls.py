@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixloom.operators.stats import empirical_p, z_against
+from matrixloom.session import Scratch
 
 
 #: Sets that are drawn side by side in each repeat at most.
@@ -80,19 +87,131 @@ def abundance_metrics(values: DataFrame, by: list[str], item: str, value: str) -
     )
 
 
+#: Repeats and values that one task of :func:`abundance_null` holds.
+TASK_REPEATS = 50
+TASK_VALUES = 1_000_000
+_PARTS = "name STRING, repeat INT, bucket INT, n BIGINT, total DOUBLE, squares DOUBLE, top ARRAY<DOUBLE>"
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """Each row's place in the list of different values, and that list; null is a value."""
+    c = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    return c.indices.to_numpy(zero_copy_only=False), c.dictionary.to_pylist()
+
+
+def _first_sets(genes: list[str | None], sizes: np.ndarray, repeat: int, seed: int) -> np.ndarray:
+    """For each gene (in order) the first of the ascending sizes whose set holds it in the order of :func:`ranked_draws`, else their number."""
+    head = f"{seed}|{repeat}"
+    digests = b"".join(md5((head if g is None else f"{head}|{g}").encode(), usedforsecurity=False).digest() for g in genes)
+    halves = np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64)
+    first = np.empty(len(genes), np.int64)
+    first[np.lexsort((halves[:, 1], halves[:, 0]))] = np.searchsorted(sizes, np.arange(1, len(genes) + 1))
+    return first
+
+
+def _even(values: np.ndarray, tissue: np.ndarray) -> np.ndarray:
+    """The values as multiples of a power of two so large that a tissue's sums are exact in any order: equal sets tie."""
+    most = np.bincount(tissue, np.abs(values)).max(initial=0.0)
+    if not 1e-200 < most < 1e200:
+        return values
+    unit = 2.0 ** (np.ceil(np.log2(most)) - 51)
+    return np.round(values / unit) * unit
+
+
+def _over_tissues(sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[float]]]:
+    """Of each column (a set): tissues with a value, total, squared distances from the mean and the top three of their means."""
+    with np.errstate(all="ignore"):
+        has, score = counts > 0, sums / counts
+        n = has.sum(0)
+        total = np.where(has, score, 0.0).sum(0)
+        squares = np.where(has, (score - total / n) ** 2, 0.0).sum(0)
+    down = np.where(has, -score, np.inf)
+    top = -np.sort(np.partition(down, 2, axis=0)[:3] if len(down) > 3 else down, axis=0)
+    return n, total, squares, [top[: min(3, k), i].tolist() for i, k in enumerate(n)]
+
+
+def _set_scores(wanted: list[tuple[str, int]], repeats: int, at_once: int, seed: int):
+    """A ``mapInArrow`` function: the rows of one bucket of tissues and one block of repeats become a row for each set and repeat."""
+    sizes = np.unique(np.array([n for _, n in wanted], np.int64))
+    names = [name for name, _ in wanted]
+    of = np.searchsorted(sizes, [n for _, n in wanted]).astype(np.int64)
+
+    def told(bucket: int, repeat: int, who: list[str], at: np.ndarray, figures: tuple) -> pa.RecordBatch:
+        n, total, squares, top = figures
+        kept = [k for k in range(len(who)) if n[at[k]]]
+        i = at[kept]
+        columns = [pa.array([who[k] for k in kept], pa.string()), pa.array([repeat] * len(kept), pa.int32()), pa.array([bucket] * len(kept), pa.int32())]
+        columns += [pa.array(n[i], pa.int64()), pa.array(total[i], pa.float64()), pa.array(squares[i], pa.float64()), pa.array([top[x] for x in i], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["name", "repeat", "bucket", "n", "total", "squares", "top"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        bucket, block = (t.column(c)[0].as_py() for c in ("bucket", "block"))
+        kind = t.column("kind")
+        drawn, own, rows = (t.filter(pc.equal(kind, k)) for k in ("drawn", "own", "value"))
+        if not rows.num_rows:
+            return
+        genes = sorted(drawn.column("gene").to_pylist(), key=lambda g: (g is not None, (g or "").encode()))
+        place = {g: i for i, g in enumerate(genes)}
+        tissue, tissues = _coded(rows.column("tissue"))
+        gene, known = _coded(rows.column("gene"))
+        value = _even(rows.column("value").to_numpy(), tissue)
+        if block == 0:
+            code = {g: i for i, g in enumerate(known)}
+            members: dict[str, list[int]] = {}
+            for name, g in zip(own.column("name").to_pylist(), own.column("gene").to_pylist()):
+                if g in code:
+                    members.setdefault(name, []).append(code[g])
+            for name, codes in members.items():
+                inside = np.zeros(len(known), bool)
+                inside[codes] = True
+                mine = inside[gene]
+                sums, counts = np.bincount(tissue[mine], value[mine], len(tissues)), np.bincount(tissue[mine], minlength=len(tissues))
+                yield told(bucket, -1, [name], np.array([0]), _over_tissues(sums[:, None], counts[:, None]))
+        among = np.array([place.get(g, -1) for g in known], np.int64)[gene]
+        tissue, value, among = tissue[among >= 0], value[among >= 0], among[among >= 0]
+        at, shape = tissue * (len(sizes) + 1), (len(tissues), len(sizes) + 1)
+        for repeat in range(block * at_once, min(repeats, (block + 1) * at_once)):
+            cell = at + _first_sets(genes, sizes, repeat, seed)[among]
+            sums, counts = (np.bincount(cell, w, shape[0] * shape[1]).reshape(shape)[:, :-1].cumsum(1) for w in (value, None))
+            yield told(bucket, repeat, names, of, _over_tissues(sums, counts))
+
+    return run
+
+
 def abundance_null(bridge: DataFrame, universe: DataFrame, abundance: DataFrame, repeats: int, seed: int = 42) -> DataFrame:
     """(program, metric, observed, random_mean, p, z) for the four abundance metrics over tissues.
 
     ``abundance``: (tissue, gene, value). A set's value in a tissue is the mean over its genes that have one.
+
+    The values are cut into buckets of whole tissues and go with all genes to a task for each bucket and block of
+    repeats, which draws the order of the genes itself and counts each value once for all sets: no draws are exchanged.
+    The inputs are read several times, so they should be stored tables.
     """
+    values = abundance.where("value IS NOT NULL")
     wanted = _sizes(bridge)
-    own = bridge.join(abundance, "gene").groupBy(F.col("program").alias("name"), "tissue").agg(F.avg("value").alias("score")).withColumn("repeat", F.lit(-1))
-    within = lambda n: F.when(F.col("place") <= n, F.col("value"))
-    sums = ranked_draws(universe, repeats, seed).join(abundance, "gene").groupBy("repeat", "tissue").agg(*[F.avg(within(n)).alias(f"s{i}") for i, (_, n) in enumerate(wanted)])
-    each = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"s{i}").alias("score")) for i, (name, _) in enumerate(wanted)])
-    drawn = sums.select("repeat", "tissue", F.explode(each).alias("x")).select("repeat", "tissue", "x.*").where("score IS NOT NULL")
-    tissue = own.select("name", "repeat", "tissue", "score").unionByName(drawn.select("name", "repeat", "tissue", "score"))
-    m = abundance_metrics(tissue, ["name", "repeat"], "tissue", "score")
+    n, tissues = values.agg(F.count("*"), F.approx_count_distinct("tissue")).first()
+    buckets = max(1, -(-n // TASK_VALUES), -(-tissues * len({size for _, size in wanted}) // (4 * TASK_VALUES)))
+    blocks = -(-repeats // TASK_REPEATS)
+    void = F.lit(None)
+    row = lambda kind, bucket, gene, name, tissue, value: [F.lit(kind).alias("kind"), bucket.alias("bucket"), gene.alias("gene"), name.cast("string").alias("name"), tissue.cast("string").alias("tissue"), value.cast("double").alias("value")]
+    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    rows = universe.select("gene").distinct().select(*row("drawn", every, F.col("gene"), void, void, void))
+    rows = rows.unionByName(bridge.select(*row("own", every, F.col("gene"), F.col("program"), void, void)))
+    rows = rows.unionByName(values.select(*row("value", F.pmod(F.xxhash64("tissue"), F.lit(buckets)).cast("int"), F.col("gene"), void, F.col("tissue"), F.col("value"))))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("kind <> 'own' OR block = 0")
+    parts = rows.repartitionById(buckets * blocks, F.col("bucket") * blocks + F.col("block")).mapInArrow(_set_scores(wanted, repeats, TASK_REPEATS, seed), _PARTS)
+    m = Scratch(values.sparkSession, "null-sets").save(parts).groupBy("name", "repeat").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "total", "squares", "top"))).alias("b"))
+    added = lambda f, zero: F.aggregate("b", zero, lambda a, x: a + f(x))
+    m = m.select("name", "repeat", "b", added(lambda x: x.n, F.lit(0).cast("bigint")).alias("n"), added(lambda x: x.total, F.lit(0.0)).alias("total"))
+    m = m.withColumn("mean_value", F.col("total") / F.col("n")).withColumn("top", F.slice(F.sort_array(F.flatten("b.top"), asc=False), 1, 3))
+    apart = added(lambda x: x.squares + x.n * F.pow(x.total / x.n - F.col("mean_value"), F.lit(2.0)), F.lit(0.0))
+    m = m.withColumns({
+        "max_value": F.get("top", F.lit(0)), "top3_mean": F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top"), "var_value": apart / F.col("n"),
+    })
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in ("mean_value", "max_value", "top3_mean", "var_value")])).alias("k")
     long = m.select("name", "repeat", kinds).select("name", "repeat", "k.metric", "k.v")
     observed = long.where("repeat = -1").select("name", "metric", F.col("v").alias("observed"))

@@ -537,6 +537,13 @@ def _universe(b, p):
     return b.select("gene").union(p.select("gene")).distinct()
 
 
+def _abundance_null(spark, folder):
+    scratch = Scratch(spark, "null")
+    b = scratch.save(bridge(spark, folder))
+    ab = scratch.save(proteins(spark, folder).groupBy("tissue", "gene").agg(F.avg("value").alias("value")))
+    return controls.abundance_null(b, _universe(b, ab), ab, _NULL_N)
+
+
 @query(f"""WITH {_PROTEINS}, {_BRIDGE}, {_UNIVERSE}, {_DRAWS}, seen AS (SELECT DISTINCT condition, gene FROM proteins), h AS (SELECT c.condition, s.name, s.rep, count(d.gene) / any_value(size) AS v FROM sets s JOIN sizes USING (name) CROSS JOIN (SELECT DISTINCT condition FROM seen) c LEFT JOIN seen d ON d.condition = c.condition AND d.gene = s.gene GROUP BY 1, 2, 3),
   o AS (SELECT condition, name, v AS obs FROM h WHERE rep = -1) SELECT condition, name AS program, {r('max(obs)')} AS observed, {r('avg(v)')} AS random_mean, {r('(count_if(round(v, 9) >= round(obs, 9)) + 1) / (count(*) + 1)')} AS p, {r(_Z, 4)} AS z FROM h JOIN o USING (condition, name) WHERE rep >= 0 GROUP BY 1, 2""")
 def detection_null(spark, folder):
@@ -552,9 +559,7 @@ _ABUND = f"""WITH {_PROTEINS}, {_BRIDGE}, {_UNIVERSE}, {_DRAWS}, ab AS (SELECT t
 
 @query(f"{_ABUND} SELECT x.name AS program, x.metric, {r('max(o.v)')} AS observed, {r('avg(x.v)')} AS random_mean, {r('(count_if(x.v >= o.v) + 1) / (count(*) + 1)')} AS p, {r('CASE WHEN count(x.v) >= 2 THEN (max(o.v) - avg(x.v)) / nullif(round(stddev_samp(x.v), 12), 0) END', 4)} AS z FROM l x JOIN l o ON x.name = o.name AND x.metric = o.metric AND o.rep = -1 WHERE x.rep >= 0 GROUP BY 1, 2")
 def abundance_null(spark, folder):
-    b = bridge(spark, folder)
-    ab = proteins(spark, folder).groupBy("tissue", "gene").agg(F.avg("value").alias("value"))
-    return show(controls.abundance_null(b, _universe(b, proteins(spark, folder)), ab, _NULL_N), z=4)
+    return show(_abundance_null(spark, folder), z=4)
 
 
 @query(f"""{_ABUND}, p AS (SELECT x.name AS program, x.metric, (count_if(x.v >= o.v) + 1) / (count(*) + 1) AS p FROM l x JOIN l o ON x.name = o.name AND x.metric = o.metric AND o.rep = -1 WHERE x.rep >= 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY p, program || '|' || metric) AS rn, count(*) OVER () AS n FROM p)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,41 @@ def test_random_sets_by_prefix(spark):
     assert all(a[r] <= b[r] and len(a[r]) == 3 and len(b[r]) == 10 for r in range(4))
 
 
+@pytest.mark.parametrize("values", [1_000_000, 40])
+def test_abundance_null_equals_brute_force(spark, monkeypatch, values):
+    def exchanged(*_):
+        raise AssertionError("the draws of all repeats are made a table")
+
+    monkeypatch.setattr(controls, "ranked_draws", exchanged)
+    monkeypatch.setattr(controls, "TASK_REPEATS", 7, raising=False)
+    monkeypatch.setattr(controls, "TASK_VALUES", values, raising=False)
+    rng, repeats = np.random.default_rng(6), 30
+    genes = [f"G{i}" for i in range(25)]
+    sets = {"a": genes[:4], "b": genes[3:12], "all": genes, "unmeasured": ["G24"]}
+    cells = {(f"t{t}", g): float(rng.normal()) for t in range(12) for g in genes[:24] if rng.random() < 0.6} | {(None, "G1"): 0.5, ("one", "G2"): 9.0}
+    df = spark.createDataFrame([(t, g, v) for (t, g), v in cells.items()] + [("t0", "G24", None)], "tissue STRING, gene STRING, value DOUBLE")
+    bridge = spark.createDataFrame([(p, g) for p, own in sets.items() for g in own], "program STRING, gene STRING")
+    got = {(r.program, r.metric): r for r in controls.abundance_null(bridge, spark.createDataFrame([(g,) for g in genes], "gene STRING"), df, repeats).collect()}
+
+    def metrics(own):
+        of = {}
+        for (t, g), v in cells.items():
+            if g in own:
+                of.setdefault(t, []).append(v)
+        m = sorted((sum(v) / len(v) for v in of.values()), reverse=True)
+        return dict(zip(("mean_value", "max_value", "top3_mean", "var_value"), (np.mean(m), m[0], np.mean(m[:3]), np.var(m)))) if m else {}
+
+    orders = [sorted(genes, key=lambda g: md5(f"42|{r}|{g}".encode()).hexdigest()) for r in range(repeats)]
+    assert got.keys() == {(p, m) for p in ("a", "b", "all") for m in metrics(genes)}
+    for p in ("a", "b", "all"):
+        drawn = [metrics(o[: len(sets[p])]) for o in orders]
+        for m, v in metrics(sets[p]).items():
+            x, r = np.array([d[m] for d in drawn]), got[p, m]
+            assert (r.observed, r.random_mean, r.p) == pytest.approx((v, x.mean(), (np.sum(x >= v - 1e-12) + 1) / (repeats + 1)))
+            assert (r.z is None and p == "all") or r.z == pytest.approx((v - x.mean()) / x.std(ddof=1))
+    assert all(got["all", m].p == 1 for m in metrics(genes))
+
+
 def test_representations(spark):
     rng = np.random.default_rng(4)
     rows = [(f"s{i:03d}", f"G{j}", float(rng.normal() + 2 * (i % 2) * (j < 3))) for i in range(60) for j in range(8)]
