@@ -565,9 +565,7 @@ def abundance_null(spark, folder):
 @query(f"""{_ABUND}, p AS (SELECT x.name AS program, x.metric, (count_if(x.v >= o.v) + 1) / (count(*) + 1) AS p FROM l x JOIN l o ON x.name = o.name AND x.metric = o.metric AND o.rep = -1 WHERE x.rep >= 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY p, program || '|' || metric) AS rn, count(*) OVER () AS n FROM p)
   SELECT program, metric, {r('p')} AS p, {r('min(least(p * n / rn, 1)) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)')} AS p_adjusted FROM r""")
 def bh_fdr(spark, folder):
-    b = bridge(spark, folder)
-    ab = proteins(spark, folder).groupBy("tissue", "gene").agg(F.avg("value").alias("value"))
-    n = controls.abundance_null(b, _universe(b, proteins(spark, folder)), ab, _NULL_N).withColumn("key", F.concat_ws("|", "program", "metric"))
+    n = _abundance_null(spark, folder).withColumn("key", F.concat_ws("|", "program", "metric"))
     return show(stats.benjamini_hochberg(n, "p", "key").select("program", "metric", "p", "p_adjusted"))
 
 

@@ -33,3 +33,21 @@ def test_overlaps_of_all_modules_of_a_set(spark, folder):
 def test_consensus_of_all_methods(spark, folder):
     got = core.QUERIES["all_method_consensus"](spark, folder).collect()
     assert {m for r in got for m in r.methods.split(", ")} == set(scoring.METHODS) and max(r.n_methods for r in got) == 5
+
+
+def test_adjusted_p_values_of_all_programs(spark, folder, monkeypatch):
+    def exchanged(*_):
+        raise AssertionError("the draws of all repeats are made a table")
+
+    read, proteins = [], core.proteins
+    monkeypatch.setattr(core, "_NULL_N", 30)
+    monkeypatch.setattr(core.controls, "ranked_draws", exchanged)
+    monkeypatch.setattr(core, "proteins", lambda *a: read.append(1) or proteins(*a))
+    got = {(r.program, r.metric): (r.p, r.p_adjusted) for r in core.QUERIES["bh_fdr"](spark, folder).collect()}
+    assert len(read) == 1
+    p = {(r.program, r.metric): r.p for r in core.QUERIES["abundance_null"](spark, folder).collect()}
+    low, expect = 1.0, {}
+    for i, k in sorted(enumerate(sorted(p, key=lambda k: (p[k], "|".join(k))), 1), reverse=True):
+        low = min(low, p[k] * len(p) / i)
+        expect[k] = low
+    assert len(got) == 36 and got.keys() == expect.keys() and all(got[k][0] == p[k] and abs(got[k][1] - expect[k]) < 1e-4 for k in p)
