@@ -59,14 +59,19 @@ def metadata(spark: SparkSession, folder: str) -> DataFrame:
     return m.where("sample_id IS NOT NULL").groupBy("sample_id").agg(best).select("sample_id", "b.tissue", "b.tissue_detail", "b.subject_id", "b.sex", "b.age")
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """(sample_id, program, score) of the stored log2 scores, each sample once, with tissue and subject."""
+def scored_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored log2 scores of each sample once, a column for each program's slug, with tissue and subject."""
     slugs = [slug_text(p) for p in PROGRAM_ORDER]
     one = table(spark, folder, SCORES).where("score_type = 'log2_mean' AND sample_id IS NOT NULL").groupBy("sample_id").agg(
         F.max(F.struct("tissue", "subject_id", *slugs)).alias("s")
     )
-    long = F.explode(F.array(*[F.struct(F.lit(p).alias("program"), F.when(~F.isnan(f"s.{s}"), F.col(f"s.{s}")).alias("score")) for p, s in zip(PROGRAM_ORDER, slugs)])).alias("x")
-    return one.select("sample_id", "s.tissue", "s.subject_id", long).select("sample_id", "tissue", "subject_id", "x.program", "x.score")
+    return one.select("sample_id", "s.tissue", "s.subject_id", *[F.when(~F.isnan(f"s.{s}"), F.col(f"s.{s}")).alias(s) for s in slugs])
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample_id, program, score) of the stored log2 scores, each sample once, with tissue and subject."""
+    long = F.explode(F.array(*[F.struct(F.lit(p).alias("program"), F.col(slug_text(p)).alias("score")) for p in PROGRAM_ORDER])).alias("x")
+    return scored_wide(spark, folder).select("sample_id", "tissue", "subject_id", long).select("sample_id", "tissue", "subject_id", "x.program", "x.score")
 
 
 def proteins(spark: SparkSession, folder: str) -> DataFrame:
@@ -659,12 +664,11 @@ def cv_metrics(spark, folder):
 
 
 def _cv(spark, folder, models):
-    programs = list(PROGRAM_ORDER)
-    wide = scored(spark, folder).groupBy("sample_id").pivot("program", programs).agg(F.first("score"))
-    wide = wide.toDF("sample_id", *[slug_text(p) for p in programs])
+    slugs = [slug_text(p) for p in PROGRAM_ORDER]
+    wide = scored_wide(spark, folder).select("sample_id", *slugs)
     m = text.map_label(metadata(spark, folder).where("tissue IS NOT NULL"), "tissue", text.TISSUE_SYSTEM, "system", "Other")
     data = classify.grouped_folds(m.select("sample_id", "subject_id", "system").join(wide, "sample_id"), "subject_id", 5)
-    return classify.cross_validate(data, [slug_text(p) for p in programs], "system", models)
+    return classify.cross_validate(data, slugs, "system", models)
 
 
 @query()

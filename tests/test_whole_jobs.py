@@ -51,3 +51,19 @@ def test_adjusted_p_values_of_all_programs(spark, folder, monkeypatch):
         low = min(low, p[k] * len(p) / i)
         expect[k] = low
     assert len(got) == 36 and got.keys() == expect.keys() and all(got[k][0] == p[k] and abs(got[k][1] - expect[k]) < 1e-4 for k in p)
+
+
+def test_fits_share_one_count_of_their_rows(spark, monkeypatch):
+    def again(*_):
+        raise AssertionError("a fit counts its rows again")
+
+    monkeypatch.setattr(classify, "balanced_weights", again)
+    monkeypatch.setattr(classify, "TASK_ROWS", 40, raising=False)
+    rows = [(i % 3, float(i % 2) + (i % 7) / 10, None if i % 9 else float("nan"), "ab"[i % 2]) for i in range(120)] + [(0, 0.0, 0.0, "rare"), (1, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "fold INT, x1 DOUBLE, x2 DOUBLE, y STRING").repartition(8)
+    got = classify.cross_validate(df, ["x1", "x2"], "y", list(classify.MODELS)).collect()
+    assert [(r.model, r.fold, r.status) for r in got] == [(m, f, "ok") for m in classify.MODELS for f in range(3)]
+    # a label that no training row has doesn't count; where it is trained, it weighs as much as the others
+    assert all(r.n == 40 for r in got) and all(r.accuracy > 0.9 for r in got if r.fold == 0 and r.model != "dense_network")
+    own = classify.cross_validate(df.where("fold < 2").selectExpr("0 AS fold", "fold = 1 AS is_test", "x1", "x2", "y"), ["x1", "x2"], "y", ["forest"]).collect()
+    assert [(r.fold, r.n, r.status) for r in own] == [(0, 40, "ok")]
